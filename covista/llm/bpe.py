@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -130,3 +131,26 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield to_batch(out, schema)
 
     return texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns keep of docs with n_tokens, ids (array<int>) and intact: whether the decoded ids are the text again."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_tokens long", "ids array<int>", "intact boolean"])
+
+    def run(batches):
+        c = codec(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ids, intact = [], []
+                for value in b.column(text_col):
+                    text = value.as_py() or ""
+                    ids.append(np.fromiter((t for p in c.encode(text) for t in p), np.int32))
+                    intact.append(c.decode(ids[-1].tolist()) == text.encode())
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+                own = [b.column(k) for k in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(intact, pa.bool_())], [*keep, "n_tokens", "ids", "intact"])
+
+    return docs.select(*keep, text_col).mapInArrow(run, ddl)

@@ -19,8 +19,9 @@ def _normal(text):
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """The groups of two rows and more whose texts are equal without white space.
 
-    Returns (doc_id, text_sha256, keep_id, keep_chars, group_size), once for each id and text of a group. keep_id is the
-    row with the most code points in its original text, then the smallest id (a null id is the smallest).
+    Returns (doc_id, th, chars, text_sha256, keep_id, keep_chars, group_size) for each row of a group; th is a hash of
+    the original text, chars its code points. keep_id is the row with the most code points, then the smallest id (a null
+    id is the smallest).
 
     A first scan keeps each row's length and prefix hash only; rows alone in their length, then rows alone in their
     (length, prefix), leave. The full texts of the survivors alone are hashed.
@@ -34,10 +35,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = left.select(F.col("doc_id").alias("i"), "n")
     ids = F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
     full = full.join(ids, F.col("x.doc_id").eqNullSafe(F.col("i")) & (F.length("norm") == F.col("n")), "left_semi")
-    full = scratch_table(full.select("doc_id", F.length("text").alias("chars"), F.sha2("norm", 256).alias("text_sha256")))
+    full = scratch_table(full.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("chars"), F.sha2("norm", 256).alias("text_sha256")))
     best = full.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), "doc_id")).alias("best")).where("group_size > 1")
     best = scratch_table(best.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.c")).alias("keep_chars")))
-    return full.select("doc_id", "text_sha256").distinct().join(best, "text_sha256")
+    return full.join(best, "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
@@ -46,7 +47,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts count as empty, and empty texts are equal to each other. Exactly one row of a group is kept, also where
     rows repeat an id. Other columns are left out, so their names don't matter. An empty table gives no rows.
     """
-    groups = scratch_table(exact_groups(docs, id_col, text_col, prefix_chars)).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("h"), "keep_id", "keep_chars", "group_size")
+    groups = exact_groups(docs, id_col, text_col, prefix_chars).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("h"), "keep_id", "keep_chars", "group_size").distinct()
+    groups = scratch_table(groups)
     all_ = texts(docs, id_col, text_col).select("doc_id", F.length("text").alias("chars"), F.sha2(_normal(F.col("text")), 256).alias("text_sha256"))
     x = all_.join(groups, all_["doc_id"].eqNullSafe(F.col("i")) & (F.col("text_sha256") == F.col("h")), "left")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("chars")))
@@ -60,6 +62,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
+    """docs, with all its columns, without the rows that exact_dedup() doesn't keep.
+
+    Only the rows to go are looked up, so what stays isn't shuffled while they are few; beyond BROADCAST_ROWS both sides are.
+    """
+    groups = scratch_table(exact_groups(docs, id_col, text_col, prefix_chars))
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    gone = scratch_table(groups.where(~best).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
+    same = lambda x: docs[id_col].eqNullSafe(x["gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == x["gone_th"])
+    # rows that repeat both the id and the text of a row that stays
+    twins = groups.where(best).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.collect_set("th").alias("ths")).where("n > 1")
+    twins = scratch_table(twins.select(F.col("doc_id").alias("gone_id"), F.explode("ths").alias("gone_th")))
+    out_ids = gone.unionByName(twins)
+    small = out_ids.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(out_ids) if small else out_ids, same(out_ids), "left_anti")
+    if twins.isEmpty():
+        return kept
+    norm = F.sha2(_normal(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    again = docs.join(twins, same(twins), "left_semi").withColumn("__norm", norm).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    return kept.unionByName(again)
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents

@@ -130,6 +130,17 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language: not `und`, and with a score of least or more."""
+
+    def run(batches):
+        for b in batches:
+            score = [profiles.predict(t.as_py() or "")[1] for t in b.column(text_col)]
+            yield b.filter(pa.array([x >= least and x > 0 for x in score], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_column) -> F.Column:
     """crc32 of the id as text, modulo 3; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(3))

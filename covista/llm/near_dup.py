@@ -22,6 +22,8 @@ from .common import components, repeated_keys, scratch_table, text_column, texts
 WORDS, SIMILARITY, SLOTS, BANDS, ROWS = 5, 0.8, 128, 25, 5
 #: Pairs are compared exactly if their signatures agree in this share less than the similarity, or more: over 5 standard deviations.
 SLACK = 0.18
+#: Up to so many rows to drop are sent to every executor; beyond, rows are joined by shuffling both sides.
+BROADCAST_ROWS = 200_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +207,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     return at.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "first_copy")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, with all its columns, with one document of each class: that of the least id. Rows without an id stay.
+
+    Rows that share an id stay together; take copies out first (exact_dedup). Only the rows to go are looked up, so what
+    stays isn't shuffled while they are few; beyond BROADCAST_ROWS both sides are.
+    """
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
+    gone = scratch_table(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
 def recall(least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> float:
     """The probability that a pair of just that similarity shares a bucket."""
     return 1 - (1 - least**rows) ** bands
