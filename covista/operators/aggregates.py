@@ -45,7 +45,7 @@ def best_of(rows: DataFrame, keys: list[str], value: str, then: list[str]) -> Da
     """One row for each key: that of the least value; a known value before none, ties by the columns `then`."""
     known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(known.desc(), F.col(value).asc(), *then))
-    return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:

@@ -62,11 +62,11 @@ def renumbered(df: DataFrame, key: str, out: str = "new_index", block: int = 1 <
     Rows are numbered within blocks of the key's range, and blocks by a running count; only the block counts, one row
     for up to `block` keys, are in one place.
     """
-    at = F.floor(F.col(key) / block).alias("block")
+    at = F.floor(F.col(key) / block).alias("__block")
     counts = df.groupBy(at).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = df.withColumn("block", at).withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(key)))
-    return numbered.join(counts.select("block", before.alias("before")), "block").withColumn(out, F.col("before") + F.col("nth") - 1).drop("block", "nth", "before")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = df.withColumn("__block", at).withColumn("__nth", F.row_number().over(Window.partitionBy("__block").orderBy(key)))
+    return numbered.join(counts.select("__block", before.alias("__before")), "__block").withColumn(out, F.col("__before") + F.col("__nth") - 1).drop("__block", "__nth", "__before")
 
 
 def number_in_name(name: str) -> Column:
