@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Spark removes a statement's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is set."""
@@ -25,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_table(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and lost executors cost no recomputation.
 
-    The files go when the driver's JVM ends.
+    The shuffle files of the write go with it, as nothing reads them again; the table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/covista-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

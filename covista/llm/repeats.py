@@ -13,7 +13,7 @@ from . import anchors
 from .common import repeated_keys, same_row, scratch_table, text_column, to_batch
 
 Symbols = Callable[[bytes], np.ndarray]
-_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
+_TYPES = {pa.int64(): "long", pa.int32(): "int"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -79,6 +79,19 @@ def expand(keyed: DataFrame, runs: DataFrame, symbols: Symbols, shape: anchors.S
     return keyed.join(lists, same_row(keyed, lists)).select(keyed["doc_id"], keyed["th"], "text", "runs").mapInArrow(run, _ddl(schema))
 
 
+def single_windows(keyed: DataFrame, runs: DataFrame, symbols: Symbols, shape: anchors.Shape) -> DataFrame:
+    """(doc_id, th, start, n = 1) for each window of the runs that another of their windows, with the same key, is equal to."""
+
+    def single(halves, start, n, place, key):
+        for at in range(0, len(start), 4096):
+            s, m, k = (x[at : at + 4096] for x in (start, n, key))
+            each = flat(s, m)
+            yield {"start": each, "key": np.repeat(k, m), "id": anchors.window_ids(halves, shape, each).view(np.int64)}
+
+    windows = scratch_table(expand(keyed, runs, symbols, shape, {"start": pa.int64(), "key": pa.int64(), "id": pa.int64()}, single))
+    return windows.join(repeated_keys(windows, "key", "id"), ["key", "id"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("n"))
+
+
 def flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] of them, and so on."""
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

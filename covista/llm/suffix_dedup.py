@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, repeats
-from .common import keyed_texts, repeated_keys, scratch_table, text_column, to_batch
+from .common import keyed_texts, scratch_table, text_column, to_batch
 
 #: Bytes of a window, bytes of the first buckets' q-grams, windows that the third round looks at together.
 SIZE, GRAM, PIECE = 400, 128, 16
@@ -31,10 +31,12 @@ def repeated_windows(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, piece
     Round 2: buckets are refined by the identifiers at all offsets that the windows around an anchor reach, earlier and
     later; those of two and more are repeated, with all their windows. A bucket that is refined into several, of which
     one has one suffix only, goes on with one suffix of each.
-    Round 3: the same for piece windows at a time, at equal offsets from the anchor.
+    Round 3: the same for piece windows at a time, at equal offsets from the anchor; their bucket is refined by the
+    identifier of the bytes that all windows at these offsets hold, so pieces that differ in these are done.
     Round 4: the same for single windows.
     """
-    shape = anchors.Shape(size, gram)
+    shape = anchors.Shape(size, min(gram, size))
+    piece = min(piece, size - shape.half + 1)  # what a piece's windows share is half a window at least
     runs = scratch_table(repeats.window_runs(keyed, anchors.byte_symbols, shape))
     whole, rest = repeats.split(repeats.with_repeated_keys(runs), "key")
 
@@ -46,17 +48,15 @@ def repeated_windows(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, piece
             run = np.repeat(np.arange(len(s)), m)
             first = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]) | (run[1:] != run[:-1])) + 1))
             count = np.diff(np.concatenate((first, [len(each)])))
-            ids = anchors.window_ids(halves, shape, each).view(np.int64)
             context = anchors.context_ids(halves, shape, each[first], count, offset[first] - each[first]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(each)])).astype(np.int32)), pa.array(ids))
-            yield {"start": each[first], "n": count.astype(np.int32), "key": k[run[first]], "piece": group[first].astype(np.int32), "context": context, "ids": lists}
+            core = (s + a)[run[first]] - group[first] * piece  # from here on, size - piece + 1 bytes
+            key = anchors.join(k[run[first]].view(anchors.U), anchors.join(halves[core], halves[core + size - piece + 1 - shape.half])).view(np.int64)
+            yield {"start": each[first], "n": count.astype(np.int32), "place": (offset[first] - each[first]).astype(np.int32), "key": key, "piece": group[first].astype(np.int32), "context": context}
 
-    kinds = {"start": pa.int64(), "n": pa.int32(), "key": pa.int64(), "piece": pa.int32(), "context": pa.int64(), "ids": pa.list_(pa.int64())}
+    kinds = {"start": pa.int64(), "n": pa.int32(), "place": pa.int32(), "key": pa.int64(), "piece": pa.int32(), "context": pa.int64()}
     parts = scratch_table(repeats.expand(keyed, rest, anchors.byte_symbols, shape, kinds, pieces))
     some, rest = repeats.split(parts, "key", "piece")
-    windows = scratch_table(rest.select("doc_id", "th", "start", "key", F.posexplode("ids").alias("k", "id")).select("doc_id", "th", (F.col("start") + F.col("k")).alias("start"), "key", "id"))
-    again = windows.join(repeated_keys(windows, "key", "id"), ["key", "id"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("n"))
-    return [whole, some, again]
+    return [whole, some, repeats.single_windows(keyed, rest, anchors.byte_symbols, shape)]
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, repeats
-from .common import keyed_texts, repeated_keys, scratch_table, text_column, to_batch
+from .common import keyed_texts, scratch_table, text_column, to_batch
 
 #: Words of a window.
 SIZE = 35
@@ -28,15 +28,7 @@ def repeated_windows(keyed: DataFrame, size: int = SIZE) -> list[DataFrame]:
     runs = scratch_table(repeats.window_runs(keyed, anchors.word_symbols, shape))
     whole, rest = repeats.split(repeats.with_repeated_keys(runs), "key")
 
-    def single(halves, start, n, place, key):
-        for at in range(0, len(start), 4096):
-            s, m, k = (x[at : at + 4096] for x in (start, n, key))
-            each = repeats.flat(s, m)
-            yield {"start": each, "key": np.repeat(k, m), "id": anchors.window_ids(halves, shape, each).view(np.int64)}
-
-    windows = scratch_table(repeats.expand(keyed, rest, anchors.word_symbols, shape, {"start": pa.int64(), "key": pa.int64(), "id": pa.int64()}, single))
-    again = windows.join(repeated_keys(windows, "key", "id"), ["key", "id"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("n"))
-    return [whole, again]
+    return [whole, repeats.single_windows(keyed, rest, anchors.word_symbols, shape)]
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
