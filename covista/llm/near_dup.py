@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import U, join, mixed, word_symbols
-from .common import components, repeated_keys, scratch_table, text_column, texts, to_batch
+from .common import components, scratch_table, text_column, texts, to_batch
 
 #: Words of a shingle, least similarity, slots of a signature (a power of 2), bands and slots of a band.
-WORDS, SIMILARITY, SLOTS, BANDS, ROWS = 5, 0.8, 128, 25, 5
-#: Pairs are compared exactly if their signatures agree in this share less than the similarity, or more: over 5 standard deviations.
-SLACK = 0.18
+WORDS, SIMILARITY, SLOTS, BANDS, ROWS = 5, 0.8, 256, 25, 5
+#: Pairs are compared exactly if their signatures agree in this share less than the similarity, or more: 4 standard deviations.
+SLACK = 0.10
+#: Members of a bucket that are held side by side, and members that they are compared with, on average.
+BLOCK = 256
 #: Up to so many rows to drop are sent to every executor; beyond, rows are joined by shuffling both sides.
 BROADCAST_ROWS = 200_000
 
@@ -144,51 +146,82 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
             ok = pa.array(found >= least)
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), pa.array(found)], schema=schema).filter(ok)
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     cuts = scratch_table(docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(cut, "node long, ids binary, weights binary"))
     a, b = (cuts.select(F.col("node").alias(k), F.col("ids").alias(f"{k}i"), F.col("weights").alias(f"{k}w")) for k in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ai", "aw", "bi", "bw").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def _apart(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): members of a bucket in different classes, one of them outside the bucket's main class, whose signatures agree enough.
+
+    open_ has (bucket, node, root, main, size). The members outside the main class are a set of queries against the
+    bucket, in blocks of about BLOCK, so that no task holds a large bucket; pairs are only made where signatures agree,
+    and only in the first of the buckets that both share.
+    """
+    full = open_.join(nodes, "node")
+    apart = open_.where("root <> main").groupBy("bucket").agg(F.count("*").alias("q"))
+    full = full.join(scratch_table(apart), "bucket").withColumn("qs", F.ceil(F.col("q") / BLOCK)).withColumn("rs", F.ceil(F.col("size") / BLOCK))
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = ("node", "root", "bands", "signature")
+    left = full.where("root <> main").select("bucket", part("qs").alias("qb"), every("rs").alias("rb"), *own).toDF("bucket", "qb", "rb", *own)
+    right = full.select("bucket", every("qs").alias("qb"), part("rs").alias("rb"), *own).toDF("bucket", "qb", "rb", *own)
+
+    def run(key, x, y):
+        import pandas as pd
+
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        (i, s, k, r), (j, t, m, q) = ((d["node"].to_numpy(), np.stack([np.frombuffer(v, np.uint16) for v in d["signature"]]), np.stack(d["bands"]), d["root"].to_numpy()) for d in (x, y))
+        out = []
+        for n in range(len(i)):
+            common = m == k[n]
+            ok = (q != r[n]) & (m[np.arange(len(j)), common.argmax(axis=1)] == key[0])
+            ok[ok] = (t[ok] == s[n]).mean(axis=1) >= least
+            out.append(np.stack([np.full(int(ok.sum()), i[n]), j[ok]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    keys = ("bucket", "qb", "rb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a long, b long").distinct()
+
+
 def near_links(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"):
     """(members, classes): members (doc_id, node) gives each row's first copy, classes (id, root) the linked first copies' class.
 
     Rows with the same words in the same order are copies; only the first copy, by id, is compared. In each band's
-    buckets all members are compared with one of them, the centre. Where members don't come into the centre's class,
-    they are compared with all members of other classes in turn, first some of them, then the rest: two members that
-    are not compared are in one class already, so no link between classes is lost and a group of copies stays linear.
+    buckets all members are compared with one of them, the centre: the member that meets most others in all its buckets,
+    which in a group of copies is the one the others were made from. Members that don't come into the class of their
+    bucket's centre are then compared with all members of other classes: two members that are not compared are in one
+    class already, so no link between classes is lost, and a group of copies stays linear.
     """
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     signed = scratch_table(_signed(docs, words, slots, bands, rows))
     members = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
     members = scratch_table(signed.select("doc_id", "same").distinct().join(scratch_table(members), "same").select("doc_id", "node"))
-    nodes = scratch_table(signed.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node").drop("same"))
+    nodes = signed.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi")
+    nodes = scratch_table(nodes.select(F.col("doc_id").alias("node"), "bands", "signature"))
     placed = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    placed = scratch_table(placed.join(repeated_keys(placed, "bucket"), "bucket", "left_semi"))
-    centres = scratch_table(placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c"), F.count("*").alias("size")).select("bucket", F.col("c.node").alias("centre"), "size"))
+    sizes = scratch_table(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    placed = scratch_table(placed.join(sizes, "bucket"))
+    met = scratch_table(placed.groupBy("node").agg(F.sum("size").alias("met")))
+    centres = placed.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
+    centres = scratch_table(centres)
 
     def tested(pairs):
-        pairs = scratch_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-        return pairs, scratch_table(_verified(scratch_table(_alike(pairs, nodes, least - SLACK)), docs, words, least).select("a", "b"))
+        return scratch_table(_verified(pairs, docs, words, least).select("a", "b"))
 
-    done, links = tested(placed.join(centres, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    first = placed.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = tested(scratch_table(_alike(scratch_table(first), nodes, least - SLACK)))
     classes = scratch_table(components(links))
-    for share in (16, 1):
-        roots = classes.select(F.col("id").alias("node"), "root")
-        open_ = placed.join(centres.where("size > 2"), "bucket").select("bucket", "node", "centre")
-        open_ = open_.join(roots, "node", "left").select("bucket", "node", "centre", F.coalesce("root", "node").alias("root"))
-        open_ = open_.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-        open_ = scratch_table(open_)
-        apart = scratch_table(open_.where(f"root <> main and pmod(xxhash64(node, 'turn'), {share}) = 0").select("bucket", F.col("node").alias("a"), F.col("root").alias("r")))
-        if apart.isEmpty():
-            continue
-        pairs = apart.join(open_, "bucket").where("r <> root").select("a", F.col("node").alias("b"))
-        pairs = scratch_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).join(done, ["a", "b"], "left_anti")
-        now, more = tested(pairs)
-        if more.isEmpty():
-            continue
-        done, links = done.unionByName(now), links.unionByName(more)
-        classes = scratch_table(components(links))
+    roots = classes.select(F.col("id").alias("node"), "root")
+    mains = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("root", "centre").alias("main"))
+    open_ = placed.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(scratch_table(mains), "bucket")
+    rest = scratch_table(_apart(scratch_table(open_), nodes, least - SLACK))
+    more = tested(rest)
+    if not more.isEmpty():
+        classes = scratch_table(components(links.unionByName(more)))
     return members, classes
 
 
