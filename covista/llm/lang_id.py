@@ -15,6 +15,8 @@ PROFILE, ORDER, SAMPLE = 300, 3, 1_000
 #: Languages with profiles, the most frequent ones.
 LANGUAGES = 500
 
+#: A code that no letter has; 0 would make n-grams that begin with a blank equal to shorter ones.
+_BLANK = 1
 _LETTERS: list[np.ndarray] = []
 
 
@@ -36,8 +38,8 @@ def grams(text: str, tile: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     keep = words.copy()
     keep[1:] |= words[:-1]  # the first character after a word stands for the blank
-    x = np.concatenate(([0], np.where(words, cp, 0)[keep], [0])).astype(np.int64)
-    if x[-2] == 0:
+    x = np.concatenate(([_BLANK], np.where(words, cp, _BLANK)[keep], [_BLANK])).astype(np.int64)
+    if x[-2] == _BLANK:
         x = x[:-1]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(x), tile):
@@ -47,7 +49,7 @@ def grams(text: str, tile: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         for n in range(1, ORDER + 1):
             if n > 1:
                 packed = (packed[:-1] << 21) | part[n - 1 :]
-            each.append(packed[:own][packed[:own] != 0])
+            each.append(packed[:own][packed[:own] != _BLANK])
         found.append(np.unique(np.concatenate(each), return_counts=True))
     if len(found) == 1:
         return found[0]
