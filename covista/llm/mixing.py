@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import scratch_table
 
@@ -14,6 +15,8 @@ FLATTEN = 0.5
 ROUNDS, CALIBRATION, BUDGET = 6, 4, 0.5
 #: Up to so many cells are sent to every executor; more are joined by shuffling both sides.
 BROADCAST_CELLS = 50_000
+#: Up to so many cells are raked by windows in one task; more by a shuffle and a written table for each step.
+TASK_CELLS = 50_000
 NONE = "(none)"
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -42,16 +45,16 @@ def cells_of(described_: DataFrame) -> DataFrame:
     return described_.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN) -> DataFrame:
+def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, task_cells: int = TASK_CELLS) -> DataFrame:
     """cells with w, their fitted weights: in turn for each dimension, weights are scaled so that its values have their target shares.
 
-    Only sums by value are shuffled and joined, and each step's cells are written, so that the plan doesn't grow.
+    Up to TASK_CELLS cells are one partition, so all steps are one plan without a shuffle. Beyond, only sums by value are
+    shuffled and joined, and each step's cells are written, so that the plan doesn't grow. Both give the same weights.
     """
     cells = scratch_table(cells.withColumn("w", F.col("tokens").cast("double")))
-    targets = {}
-    for d in DIMENSIONS:
-        raw = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("t"))
-        targets[d] = scratch_table(raw.crossJoin(F.broadcast(raw.agg(F.sum("t").alias("all")))).select(d, (F.col("t") / F.col("all")).alias("t")))
+    if cells.count() <= task_cells:
+        return _rake_in_task(cells, rounds, flatten)
+    targets = {d: scratch_table(_targets(cells, d, flatten)) for d in DIMENSIONS}
     for _ in range(rounds):
         for d in DIMENSIONS:
             now = cells.groupBy(d).agg(F.sum("w").alias("s")).join(targets[d], d).select(d, (F.col("t") / F.col("s")).alias("f"))
@@ -59,6 +62,23 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN) -> Da
     return cells
 
 
+def _targets(cells: DataFrame, d: str, flatten: float) -> DataFrame:
+    """(d, t): the target share of each of the dimension's values."""
+    raw = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("t"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.sum("t").alias("all")))).select(d, (F.col("t") / F.col("all")).alias("t"))
+
+
+def _rake_in_task(cells: DataFrame, rounds: int, flatten: float) -> DataFrame:
+    """rake() for no more than TASK_CELLS cells, which bounds the task and the targets that are broadcast."""
+    now = cells.coalesce(1)
+    for d in DIMENSIONS:
+        now = now.join(F.broadcast(_targets(cells.coalesce(1), d, flatten).withColumnRenamed("t", f"t_{d}")), d)
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            now = now.withColumn("w", F.col("w") * (F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d))))
+    return scratch_table(now.select(*DIMENSIONS, "tokens", "w"))
+
+
 def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = CALIBRATION) -> DataFrame:
     """cells with p, the probability of each document of the cell: the least of 1 and c * w / tokens.
 
