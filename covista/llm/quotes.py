@@ -60,15 +60,16 @@ def link(messages: DataFrame) -> DataFrame:
 def threads(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, root_turn, depth) from (conv_id, turn, parent_turn): who began it, and how many replies lie between.
 
-    Pointer jumping: each round doubles how far every message sees, and joins on message, never on conversation.
+    Pointer jumping: each round doubles how far a message sees, and joins on message, never on conversation. Only messages
+    that don't see their root yet are joined, so a long thread costs rounds for its own messages alone.
     """
-    now = scratch_table(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("depth")))
-    while True:
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        later = scratch_table(now.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
-        if later.agg(F.sum("depth")).first()[0] == now.agg(F.sum("depth")).first()[0]:
-            return later.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
-        now = later
+    root = F.col("parent_turn").isNull()
+    now = scratch_table(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), (~root).cast("long").alias("depth"), root.alias("ended")))
+    while not now.where("not ended").isEmpty():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("done"))
+        moved = now.where("not ended").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done").alias("ended"))
+        now = scratch_table(now.where("ended").unionByName(moved))
+    return now.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
 
 
 def reply_order(conversations: DataFrame) -> DataFrame:
