@@ -212,6 +212,9 @@ def test_mixing_reaches_its_marginals(spark):
     for d in mixing.DIMENSIONS:
         share = cells.groupby(d)["tokens"].sum() ** mixing.FLATTEN
         assert np.allclose(cells.groupby(d)["w"].sum() / total, share / share.sum(), atol=1e-3)
+    steps = mixing.rake(mixing.cells_of(described), rounds=40, task_cells=0).toPandas()
+    by = list(mixing.DIMENSIONS)
+    assert len(steps) == len(cells) and np.allclose(cells.sort_values(by)["w"], steps.sort_values(by)["w"])
     out = mixing.mix(df).toPandas()
     assert len(out) == len(rows) and abs((out.p * out.tokens).sum() / out.tokens.sum() - mixing.BUDGET) < 0.01
     assert not out[out.tokens == 0].kept.any() and set(out[out.source.isna()].index) == set()
