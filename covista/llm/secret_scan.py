@@ -19,8 +19,14 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words that announce a credential, and the value after them; a value is a run of visible ASCII characters.
-CONTEXT = re.compile(r"\b(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth[_-]?key|private[_-]?key)[\"']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+)[\"']?([!-~]{6,})", re.I | re.A)
+#: Words that announce a credential, with whatever prefix; of `pass`, the common words that end in it are left out.
+_HEAD = r"(?=[pstac])(?:pass(?:word|wd|phrase|code|(?<!compass)(?<!bypass)(?<!trespass)(?<!surpass)(?<!overpass)(?<!underpass))|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth[_-]?key|private[_-]?key)[\"']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+)"
+CONTEXT = re.compile(_HEAD, re.I | re.A)
+#: A value in quotes, up to its closing quote in the same line.
+QUOTED = re.compile(r"([\"'`])((?:(?!\1)(?:\\[^\r\n]|[^\r\n\\]))*)\1")
+#: A bare value is a run of visible ASCII characters, up to the next announcing word or name and value; it may end at a delimiter before.
+RUN = re.compile(rf"(?:(?!{_HEAD})(?![,;&<\"'`][\"']?[\w.-]+[\"']?[:=])[!-~])*", re.I | re.A)
+PIECE = re.compile(r"[^,;&<\"'`]*")
 #: A value is reported where the logarithm (base 10) of its guesses is this or more.
 HARD = 8.0
 #: Common words of passwords, the most common first; a fixed list.
@@ -112,21 +118,30 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int]]]:
     return min(rough[n], known[n]), spans[::-1]
 
 
+def _values(text: str, at: int) -> list[tuple[int, int]]:
+    """What the value that begins at a place may be, as (start, end); the likelier one first."""
+    if m := QUOTED.match(text, at):
+        return [m.span(2)]
+    at += text[at : at + 1] in ("'", '"')
+    run = RUN.match(text, at).group()
+    ends = [len(x.rstrip("\"'`,;.)]}>")) for x in (PIECE.match(run).group(), run)]
+    return [(at, at + n) for n in dict.fromkeys(ends)]
+
+
 def scan(text: str, hard: float = HARD) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS.
 
-    `guess` are values after a word that announces a credential, of which no part is in another span and whose guess
-    cost is hard or more.
+    `guess` are values after a word that announces a credential, whose guess cost is hard or more; they may overlap
+    other spans. A bare value that is short or easy up to its first delimiter is tried with what follows, too.
     """
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = sorted((s, e) for _, s, e in found)
     for m in CONTEXT.finditer(text):
-        s, e = m.span(2)
-        value = text[s:e].rstrip("\"'`,;.)]}>")
-        if len(value) >= 6 and not any(a < s + len(value) and s < b for a, b in base) and guess_cost(value)[0] >= hard:
-            found.append(("guess", s, s + len(value)))
+        for s, e in _values(text, m.end()):
+            if e - s >= 6 and guess_cost(text[s:e])[0] >= hard:
+                found.append(("guess", s, e))
+                break
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -142,6 +142,15 @@ def test_secret_spans(spark):
     assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["n_hex"] == 0
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ('DB_PASSWORD="k!9#Qz@7mWx"', ["k!9#Qz@7mWx"]), ('client_secret = "k!9#Qz@7mWx"', ["k!9#Qz@7mWx"]), ("dbPass: 'k!9#Qz@7mWx',", ["k!9#Qz@7mWx"]),
+    ('{"password":"k!9#Qz@7mWx","token":"abcdef123456"}', ["k!9#Qz@7mWx"]), ("password=k!9#Qz@7mWx&token=abcdef123456", ["k!9#Qz@7mWx"]), ("pwd=k!9#Qz@7mWx,secret=Q7#zk@9!xW", ["k!9#Qz@7mWx", "Q7#zk@9!xW"]),
+    ("password: Summer9!k#9Qz@7mWx", ["Summer9!k#9Qz@7mWx"]), ("password=k!9,#Qz@7mWx", ["k!9,#Qz@7mWx"]), ("a compass is k!9#Qz@7mWx", []), ("pwd=" * 9999, []),
+])
+def test_values_in_credential_contexts(text, values):
+    assert [text[s:e] for kind, s, e in secret_scan.scan(text) if kind == "guess"] == values
+
+
 def test_bpe_chunks_give_the_tokens_of_the_whole_text(spark):
     path, pattern = queries.tokenizer()
     small = bpe.Codec(path, pattern, chunk=40, overlap=8)
