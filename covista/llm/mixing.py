@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +13,12 @@ from .common import scratch_table
 DIMENSIONS = ("source", "lang", "topic")
 #: A value's target share of the tokens is its own share to this power, over the sum of these: below 1, small ones gain.
 FLATTEN = 0.5
-#: Rounds of raking, rounds of calibration, and the share of all tokens that the sample shall have.
+#: Rounds of raking at least, rounds of calibration, and the share of all tokens that the sample shall have.
 ROUNDS, CALIBRATION, BUDGET = 6, 4, 0.5
+#: Raking goes on until no value's share is further from its target than this, as a part of the target.
+TOLERANCE = 1e-4
+#: Targets count as out of reach where twice the rounds leave more than this part of the error; tried so many times ROUNDS at least.
+STALLED, TRIES = 0.9, 10
 #: Up to so many cells are sent to every executor; more are joined by shuffling both sides.
 BROADCAST_CELLS = 50_000
 #: Up to so many cells are raked by windows in one task; more by a shuffle and a written table for each step.
@@ -45,21 +51,34 @@ def cells_of(described_: DataFrame) -> DataFrame:
     return described_.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, task_cells: int = TASK_CELLS) -> DataFrame:
+def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, task_cells: int = TASK_CELLS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with w, their fitted weights: in turn for each dimension, weights are scaled so that its values have their target shares.
 
-    Up to TASK_CELLS cells are one partition, so all steps are one plan without a shuffle. Beyond, only sums by value are
-    shuffled and joined, and each step's cells are written, so that the plan doesn't grow. Both give the same weights.
+    After each so many rounds the largest_error() is measured: at tolerance the weights are done. Where the cells that
+    there are can't meet all targets, raking ends once twice the rounds hardly lessen the error, and a warning tells
+    what is left.
+
+    Up to TASK_CELLS cells are one partition, so all steps of these rounds are one plan without a shuffle. Beyond, only
+    sums by value are shuffled and joined, and each step's cells are written, so that the plan doesn't grow. Both give
+    the same weights.
     """
     cells = scratch_table(cells.withColumn("w", F.col("tokens").cast("double")))
-    if cells.count() <= task_cells:
-        return _rake_in_task(cells, rounds, flatten)
-    targets = {d: scratch_table(_targets(cells, d, flatten)) for d in DIMENSIONS}
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = cells.groupBy(d).agg(F.sum("w").alias("s")).join(targets[d], d).select(d, (F.col("t") / F.col("s")).alias("f"))
-            cells = scratch_table(cells.join(now, d).withColumn("w", F.col("w") * F.col("f")).drop("f"))
-    return cells
+    few = cells.count() <= task_cells
+    base = cells.coalesce(1) if few else cells
+    for d in DIMENSIONS:
+        targets = _targets(base, d, flatten).withColumnRenamed("t", f"t_{d}")
+        cells = (cells.coalesce(1) if few else cells).join(F.broadcast(targets) if few else scratch_table(targets), d)
+    cells, errors = scratch_table(cells), []
+    while True:
+        cells = _rake_in_task(cells, rounds) if few else _rake_by_steps(cells, rounds)
+        errors.append(largest_error(cells))
+        n = len(errors)
+        if errors[-1] <= tolerance:
+            break
+        if n >= TRIES and n % 2 == 0 and errors[-1] > STALLED * errors[n // 2 - 1]:
+            logging.getLogger(__name__).warning("targets out of reach: after %d rounds a value's share is still %.2g of its target off", n * rounds, errors[-1])
+            break
+    return cells.select(*DIMENSIONS, "tokens", "w")
 
 
 def _targets(cells: DataFrame, d: str, flatten: float) -> DataFrame:
@@ -68,15 +87,28 @@ def _targets(cells: DataFrame, d: str, flatten: float) -> DataFrame:
     return raw.crossJoin(F.broadcast(raw.agg(F.sum("t").alias("all")))).select(d, (F.col("t") / F.col("all")).alias("t"))
 
 
-def _rake_in_task(cells: DataFrame, rounds: int, flatten: float) -> DataFrame:
-    """rake() for no more than TASK_CELLS cells, which bounds the task and the targets that are broadcast."""
+def _rake_in_task(cells: DataFrame, rounds: int) -> DataFrame:
+    """Rounds of rake() for no more than TASK_CELLS cells, which bounds the task."""
     now = cells.coalesce(1)
-    for d in DIMENSIONS:
-        now = now.join(F.broadcast(_targets(cells.coalesce(1), d, flatten).withColumnRenamed("t", f"t_{d}")), d)
     for _ in range(rounds):
         for d in DIMENSIONS:
             now = now.withColumn("w", F.col("w") * (F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d))))
-    return scratch_table(now.select(*DIMENSIONS, "tokens", "w"))
+    return scratch_table(now)
+
+
+def _rake_by_steps(cells: DataFrame, rounds: int) -> DataFrame:
+    """Rounds of rake() for any number of cells."""
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            now = cells.groupBy(d).agg(F.sum("w").alias("s"))
+            cells = scratch_table(cells.join(now, d).withColumn("w", F.col("w") * (F.col(f"t_{d}") / F.col("s"))).drop("s"))
+    return cells
+
+
+def largest_error(cells: DataFrame) -> float:
+    """How far a value's share of the weights is from its target t_<dimension>, as a part of it: the most of all values; 0 without cells."""
+    errors = [cells.groupBy(d).agg(F.abs(F.sum("w") / F.first(f"t_{d}") - 1).alias("e")).agg(F.max("e").alias("e")) for d in DIMENSIONS]
+    return errors[0].unionByName(errors[1]).unionByName(errors[2]).agg(F.max("e")).first()[0] or 0.0
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = CALIBRATION) -> DataFrame:

@@ -231,6 +231,21 @@ def test_mixing_reaches_its_marginals(spark):
     assert kept.columns == df.columns and kept.count() == int(out.kept.sum())
 
 
+def test_raking_goes_on_until_skewed_marginals_are_met(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10_000), ("a", "y", "t", 100), ("b", "y", "t", 300), ("b", "x", "t", 2)], "source string, lang string, topic string, tokens long")
+    for tolerance, task_cells in ((mixing.TOLERANCE, mixing.TASK_CELLS), (0.03, 0)):
+        got = mixing.rake(cells, task_cells=task_cells, tolerance=tolerance).toPandas()
+        for d in mixing.DIMENSIONS:
+            share = got.groupby(d)["tokens"].sum() ** mixing.FLATTEN
+            assert np.allclose(got.groupby(d)["w"].sum(), share / share.sum(), rtol=1.01 * tolerance, atol=0), d
+
+
+def test_raking_ends_and_tells_where_targets_are_out_of_reach(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", "t", 10_000), ("b", "x", "t", 300), ("c", "y", "t", 2)], "source string, lang string, topic string, tokens long")
+    assert mixing.rake(cells).count() == 3
+    assert "targets out of reach" in caplog.text
+
+
 def test_top_k(spark):
     r = np.random.default_rng(12)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [0.5] * 8), (305, [0.5] * 8), (306, []), (None, [1.0] * 8), (307, [1.0, 2.0])]
