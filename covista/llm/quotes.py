@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .common import scratch_table
 
-#: A line's quote marks; a passage shorter than this, when normalised, links nothing.
+#: A line's quote marks; a passage shorter than this, when normalised, links within its conversation only.
 MARKS, LEAST = r"^(?:[ \t]*>)+", 12
 
 
@@ -34,23 +34,26 @@ def passages(messages: DataFrame) -> DataFrame:
     lines = lines.withColumn("run", F.sum(new.cast("int")).over(at)).where("words <> ''")
     runs = lines.groupBy("conv_id", "turn", "th", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"]), " ").alias("words"))
     both = runs.select("conv_id", "turn", "level", "words").unionByName(lines.select("conv_id", "turn", "level", "words"))
-    return both.where(F.length("words") >= LEAST).select("conv_id", "turn", "level", F.sha2("words", 256).alias("hash"), F.length("words").alias("chars")).distinct()
+    return both.select("conv_id", "turn", "level", F.sha2("words", 256).alias("hash"), F.length("words").alias("chars")).distinct()
 
 
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, linked_turn, source_conv, source_turn, n_quoted, n_linked) for messages that quote something.
 
     A quoted passage is from the first message of the conversation that has it as its own words, if that is an earlier
-    one; else from the first message of any other conversation. A message answers the one that most characters of its
+    one; else, if it has LEAST characters, from the first message of any other conversation. A message answers the one that most characters of its
     quotes are from, the outermost quote level first and the latest message at ties. Each passage joins one row, the
     first of its kind, so a passage that many messages share links each of them once.
     """
     found = scratch_table(passages(messages.where("conv_id is not null and turn is not null")))
     quoted, own = found.where("level > 0"), found.where("level = 0")
     here = scratch_table(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("from_turn")))
-    there = scratch_table(own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")))
+    there = scratch_table(own.where(F.col("chars") >= LEAST).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")))
     x = quoted.join(here, ["conv_id", "hash"], "left").withColumn("from_turn", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")))
-    x = scratch_table(x.join(there, "hash", "left").select("conv_id", "turn", "level", "chars", "from_turn", F.when(F.col("from_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id")), F.col("first")).alias("first")))
+    x = scratch_table(x)
+    # short passages, of which some are very common, have no part in the join on the hash alone
+    far = x.where(F.col("chars") >= LEAST).join(there, "hash", "left").unionByName(x.where(F.col("chars") < LEAST), allowMissingColumns=True)
+    x = scratch_table(far.select("conv_id", "turn", "level", "chars", "from_turn", F.when(F.col("from_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id")), F.col("first")).alias("first")))
     by = x.where("from_turn is not null").groupBy("conv_id", "turn", "level", "from_turn").agg(F.sum("chars").alias("chars"))
     best = by.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "chars", "from_turn"))["from_turn"].alias("linked_turn"))
     rest = x.groupBy("conv_id", "turn").agg(F.min("first").alias("first"), F.count("*").alias("n_quoted"), F.sum((F.col("from_turn").isNotNull() | F.col("first").isNotNull()).cast("long")).alias("n_linked"))

@@ -277,6 +277,12 @@ def test_quotes_link_and_order(spark):
     assert got[1, 3]["text"] == "So do I, as it happens." and got[1, 4]["n_quoted"] == 1 and got[1, 4]["n_linked"] == 0
 
 
+def test_short_quotes_link_within_their_conversation(spark):
+    rows = [(1, 0, "user", "Yes."), (1, 1, "assistant", "Sounds fine"), (1, 2, "user", "An aside."), (1, 3, "assistant", "> Yes.\nGood."), (1, 4, "user", "> sounds  FINE"), (2, 0, "user", "> Yes.\nWhat?")]
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (x["parent_turn"], x["by_quote"], x["source_conv"], x["n_quoted"], x["n_linked"]) for k, x in got.items() if k[1] > 2 or k[0] == 2} == {(1, 3): (0, True, None, 1, 1), (1, 4): (1, True, None, 1, 1), (2, 0): (None, False, None, 1, 0)}
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b = prose(90), prose(90)
