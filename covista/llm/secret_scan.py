@@ -6,6 +6,7 @@ brute-force spans, of the product of the spans' guesses.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 
@@ -45,19 +46,37 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 CLASSES = ((str.isdigit, math.log10(10)), (str.islower, math.log10(26)), (str.isupper, math.log10(26)))
 OTHER = math.log10(33)
 _RANK = {w: math.log10(2 + i) for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+#: Words of a ranked vocabulary are this long at least and at most.
+SHORTEST, LONGEST = 3, 20
+_RANKED: dict[str, dict[str, float]] = {}
 _NEXT = {(a, b) for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 
 
-def _spans(value: str, brute: list[float]) -> list[list[tuple[int, float]]]:
+def ranked_words(path: str | None) -> dict[str, float]:
+    """Words and the logarithm of the guesses for each: WORDS first, then the words of a file of byte-level BPE ranks, in its order.
+
+    A vocabulary is ordered by frequency; of it, entries of lower-case letters that stand after a blank are words. Read
+    once for each process; without a path, WORDS alone.
+    """
+    if not path:
+        return _RANK
+    if path not in _RANKED:
+        with open(path, "rb") as f:
+            entries = (base64.b64decode(line.split()[0]) for line in f)
+            words = [e[1:].decode() for e in entries if e[:1] == b" " and SHORTEST < len(e) <= LONGEST + 1 and e[1:].isascii() and e[1:].isalpha() and e[1:].islower()]
+        _RANKED[path] = {w: math.log10(2 + len(WORDS) + i) for i, w in reversed(list(enumerate(words)))} | _RANK
+    return _RANKED[path]
+
+
+def _spans(value: str, brute: list[float], ranks: dict[str, float] = _RANK) -> list[list[tuple[int, float]]]:
     """For each end, the (start, cost) of the spans that end there, brute force aside."""
     n, out = len(value), [[] for _ in range(len(value) + 1)]
     low = value.lower()
     plain = low.translate(LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            if rank is None and (rank := _RANK.get(plain[i:j])) is not None:
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank = ranks.get(low[i:j])
+            if rank is None and (rank := ranks.get(plain[i:j])) is not None:
                 rank += math.log10(2 + sum(a != b for a, b in zip(low[i:j], plain[i:j])))
             if rank is not None:
                 upper = sum(c.isupper() for c in value[i:j])
@@ -86,7 +105,7 @@ def _spans(value: str, brute: list[float]) -> list[list[tuple[int, float]]]:
     return out
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int]]]:
+def guess_cost(value: str, ranks: dict[str, float] = _RANK) -> tuple[float, list[tuple[int, int]]]:
     """The base-10 logarithm of the guesses for value, and the spans of a cheapest segmentation that no brute force takes.
 
     Dynamic programming from left to right; a brute-force span costs its characters one by one, so the work grows with
@@ -96,7 +115,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int]]]:
     brute = [0.0] * (n + 1)
     for k, c in enumerate(value):
         brute[k + 1] = brute[k] + next((x for is_, x in CLASSES if is_(c)), OTHER)
-    ends, join = _spans(value, brute), math.log10(2)
+    ends, join = _spans(value, brute, ranks), math.log10(2)
     # least cost of value[:j] if its last span is brute force, and if it is not
     rough, known = [0.0] + [math.inf] * n, [0.0] + [math.inf] * n
     was, start = [False] * (n + 1), [0] * (n + 1)
@@ -128,7 +147,7 @@ def _values(text: str, at: int) -> list[tuple[int, int]]:
     return [(at, at + n) for n in dict.fromkeys(ends)]
 
 
-def scan(text: str, hard: float = HARD) -> list[tuple[str, int, int]]:
+def scan(text: str, hard: float = HARD, ranks: dict[str, float] = _RANK) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed in KINDS.
 
     `guess` are values after a word that announces a credential, whose guess cost is hard or more; they may overlap
@@ -139,23 +158,24 @@ def scan(text: str, hard: float = HARD) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
         for s, e in _values(text, m.end()):
-            if e - s >= 6 and guess_cost(text[s:e])[0] >= hard:
+            if e - s >= 6 and guess_cost(text[s:e], ranks)[0] >= hard:
                 found.append(("guess", s, e))
                 break
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def find_secrets(docs: DataFrame, hard: float = HARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, hard: float = HARD, words: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for each row, over its whole text.
 
-    A null or empty text has no spans. Repeated rows get a row each; other columns are left out.
+    words is the path, on every executor, of a ranked vocabulary (ranked_words). A null or empty text has no spans. Repeated rows get a row each; other columns are left out.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
 
     def run(batches):
+        ranks = ranked_words(words)
         for b in batches:
-            out = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in scan(t.as_py(), hard)] for t in b.column("text")]
+            out = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in scan(t.as_py(), hard, ranks)] for t in b.column("text")]
             yield to_batch({"doc_id": b.column("doc_id"), "spans": out}, schema)
 
     return texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
