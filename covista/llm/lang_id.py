@@ -12,8 +12,6 @@ from .common import scratch_table, texts, to_batch
 UNKNOWN = "und"
 #: N-grams in a profile; the longest n-gram; documents of each language from which profiles are learned, about.
 PROFILE, ORDER, SAMPLE = 300, 3, 1_000
-#: Languages with profiles, the most frequent ones.
-LANGUAGES = 500
 
 #: A code that no letter has; 0 would make n-grams that begin with a blank equal to shorter ones.
 _BLANK = 1
@@ -95,14 +93,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, size: int = PROFILE, id
     """Learn profiles from the rows of labelled whose language is not null.
 
     Of each language with more rows, about per_language of them are read, chosen by a hash of their id: this bounds
-    what is learned from, and so what the driver receives (LANGUAGES profiles of size codes each).
+    what is learned from. Every language there is gets a profile; the driver receives size codes for each of them.
     """
     docs = labelled.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Profiles({}, size)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], -(-r["count"] // per_language))])
-    some = docs.withColumn("share", share[F.col("lang")]).where("share is not null and pmod(xxhash64(doc_id), share) = 0")
+    sizes = scratch_table(docs.groupBy("lang").agg(F.ceil(F.count("*") / per_language).alias("share")))
+    some = docs.join(sizes, "lang").where("pmod(xxhash64(doc_id), share) = 0")
 
     def count(batches):
         schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
@@ -132,15 +127,24 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learned language: not `und`, and with a score of least or more."""
+def keep_known(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text", relabel: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language: not `und`, and with a score of least or more.
+
+    Null texts and those without a letter go; repeated rows are judged each; an empty table stays one. relabel names a
+    string column that then holds the predicted language.
+    """
+
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow takes no names with dots
+    text, label = (docs.columns.index(c) if c else None for c in (text_col, relabel))
 
     def run(batches):
         for b in batches:
-            score = [profiles.predict(t.as_py() or "")[1] for t in b.column(text_col)]
-            yield b.filter(pa.array([x >= least and x > 0 for x in score], pa.bool_()))
+            found = [profiles.predict(t.as_py() or "") for t in b.column(text)]
+            if label is not None:
+                b = b.set_column(label, b.schema.field(label).with_nullable(True), pa.array([x for x, _ in found], b.schema.field(label).type))
+            yield b.filter(pa.array([score >= least and score > 0 for _, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def fold(id_column) -> F.Column:
