@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, repeated_keys, scratch_table, texts
-
-#: Up to so many surviving rows are sent to every executor; beyond, rows are joined by shuffling both sides.
-BROADCAST_ROWS = 200_000
+from .common import SPACE, quoted, repeated_keys, scratch_table, texts, through_sieve
 
 
 def _normal(text):
@@ -24,18 +21,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id is the smallest).
 
     A first scan keeps each row's length and prefix hash only; rows alone in their length, then rows alone in their
-    (length, prefix), leave. The full texts of the survivors alone are hashed.
+    (length, prefix), leave. The full texts of the survivors are hashed where they lie: a bitmap of bounded size picks
+    them (through_sieve), so no text is shuffled, and their digests are then joined exactly.
     """
     base = texts(docs, id_col, text_col)
     norm = _normal(F.col("text"))
     sizes = scratch_table(base.select("doc_id", norm.alias("norm")).select("doc_id", F.length("norm").alias("n"), F.xxhash64(F.left("norm", F.lit(prefix_chars))).alias("prefix")))
     left = sizes.join(repeated_keys(sizes, "n"), "n", "left_semi")
     left = scratch_table(left.join(repeated_keys(left, "n", "prefix"), ["n", "prefix"], "left_semi").select("doc_id", "n", "prefix").distinct())
-    full = base.select("doc_id", "text", norm.alias("norm")).alias("x")
-    ids = left.select(F.col("doc_id").alias("i"), "n")
-    ids = F.broadcast(ids) if left.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
-    full = full.join(ids, F.col("x.doc_id").eqNullSafe(F.col("i")) & (F.length("norm") == F.col("n")), "left_semi")
-    full = scratch_table(full.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("chars"), F.sha2("norm", 256).alias("text_sha256")))
+    ids = left.select(F.col("doc_id").alias("i"), "n", F.xxhash64("doc_id", "n").alias("k"))
+    long = base.select("doc_id", "text", norm.alias("norm")).withColumn("n", F.length("norm"))
+    some, _ = through_sieve(long, F.xxhash64("doc_id", "n"), ids.select("k"))
+    some = some.select("doc_id", "n", F.xxhash64("text").alias("th"), F.length("text").alias("chars"), F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("doc_id", "n").alias("k")).alias("x")
+    full = some.join(ids, (F.col("x.k") == ids["k"]) & F.col("x.doc_id").eqNullSafe(F.col("i")) & (F.col("x.n") == ids["n"]), "left_semi")
+    full = scratch_table(full.select("doc_id", "th", "chars", "text_sha256"))
     best = full.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), "doc_id")).alias("best")).where("group_size > 1")
     best = scratch_table(best.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.c")).alias("keep_chars")))
     return full.join(best, "text_sha256")
@@ -65,22 +64,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
     """docs, with all its columns, without the rows that exact_dedup() doesn't keep.
 
-    Only the rows to go are looked up, so what stays isn't shuffled while they are few; beyond BROADCAST_ROWS both sides are.
+    Only the rows to go, and those that repeat both the id and the text of a row that stays, are looked up: a bitmap of
+    bounded size picks them where they lie, so no other text is shuffled.
     """
     groups = scratch_table(exact_groups(docs, id_col, text_col, prefix_chars))
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
-    gone = scratch_table(groups.where(~best).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
-    same = lambda x: docs[id_col].eqNullSafe(x["gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == x["gone_th"])
-    # rows that repeat both the id and the text of a row that stays
+    gone = groups.where(~best).select("doc_id", "th", F.lit(None).cast("string").alias("twin")).distinct()
     twins = groups.where(best).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.collect_set("th").alias("ths")).where("n > 1")
-    twins = scratch_table(twins.select(F.col("doc_id").alias("gone_id"), F.explode("ths").alias("gone_th")))
-    out_ids = gone.unionByName(twins)
-    small = out_ids.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(out_ids) if small else out_ids, same(out_ids), "left_anti")
-    if twins.isEmpty():
-        return kept
-    norm = F.sha2(_normal(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    again = docs.join(twins, same(twins), "left_semi").withColumn("__norm", norm).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    twins = twins.select("doc_id", F.explode("ths").alias("th"), F.col("text_sha256").alias("twin"))
+    out = scratch_table(gone.unionByName(twins).select(F.xxhash64("doc_id", "th").alias("_k"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("twin").alias("_twin")))
+    own = F.xxhash64(F.col(quoted(id_col)), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
+    maybe, kept = through_sieve(docs, own, out.select("_k"))
+    names = docs.columns
+    row = maybe.select(F.struct("*").alias("_row"), F.col(quoted(id_col)).alias("_own"), own.alias("_own_k"))
+    row = row.join(out, (F.col("_own_k") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_id")), "left")
+    back = [F.col(f"_row.{quoted(c)}").alias(c) for c in names]
+    kept = kept.unionByName(row.where("_k is null").select(*back))
+    again = row.where("_twin is not null").dropDuplicates(["_own", "_twin"]).select(*back)
     return kept.unionByName(again)
 
 

@@ -16,16 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import U, join, mixed, word_symbols
-from .common import components, scratch_table, text_column, texts, to_batch
+from .common import components, quoted, scratch_table, text_column, texts, through_sieve, to_batch
 
 #: Words of a shingle, least similarity, slots of a signature (a power of 2), bands and slots of a band.
 WORDS, SIMILARITY, SLOTS, BANDS, ROWS = 5, 0.8, 256, 25, 5
-#: Pairs are compared exactly if their signatures agree in this share less than the similarity, or more: 4 standard deviations.
-SLACK = 0.10
+#: Pairs are compared exactly if their signatures agree in this share less than the similarity, or more: 5.2 standard deviations.
+SLACK = 0.13
 #: Members of a bucket that are held side by side, and members that they are compared with, on average.
 BLOCK = 256
-#: Up to so many rows to drop are sent to every executor; beyond, rows are joined by shuffling both sides.
-BROADCAST_ROWS = 200_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -243,12 +241,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all its columns, with one document of each class: that of the least id. Rows without an id stay.
 
-    Rows that share an id stay together; take copies out first (exact_dedup). Only the rows to go are looked up, so what
-    stays isn't shuffled while they are few; beyond BROADCAST_ROWS both sides are.
+    Rows that share an id stay together; take copies out first (exact_dedup). Only the rows to go are looked up: a bitmap
+    of bounded size picks them where they lie, so what stays isn't shuffled.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     gone = scratch_table(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone["gone_id"], "left_anti")
+    maybe, kept = through_sieve(docs, F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(-1)), gone)
+    row = maybe.select(F.struct("*").alias("_row"), F.col(quoted(id_col)).cast("long").alias("_own"))
+    left = row.join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    return kept.unionByName(left.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns]))
 
 
 def recall(least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> float:
