@@ -142,26 +142,37 @@ def context_ids(halves: np.ndarray, shape: Shape, starts: np.ndarray, counts: np
     return join(join(halves[starts], halves[(starts + end) // 2]), join(halves[end], mixed((counts << 32 | places).astype(U))))
 
 
-def runs(symbols: np.ndarray, shape: Shape):
+def runs(symbols: np.ndarray, shape: Shape, alive: np.ndarray | None = None):
     """Runs of windows with one anchor: arrays start, count, key (the anchor's identifier), context, place.
 
+    alive tells of each window whether it is looked at; all are where it is None.
+
     place is the anchor's distance from the run's first window; context identifies the run's count, its place and all
     the symbols its windows cover. A window begins at the symbol of its number.
     """
     total = len(symbols) - shape.size + 1
-    parts = [_runs(symbols[at : at + min(TILE, total - at) + shape.size - 1], shape, at) for at in range(0, max(0, total), TILE)]
+    parts = []
+    for at in range(0, max(0, total), TILE):
+        n = min(TILE, total - at)
+        part = _runs(symbols[at : at + n + shape.size - 1], shape, at, None if alive is None else alive[at : at + n])
+        if len(part[0]):
+            parts.append(part)
     if not parts:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _runs(symbols: np.ndarray, shape: Shape, at: int):
+def _runs(symbols: np.ndarray, shape: Shape, at: int, alive: np.ndarray | None):
     ids = Ids(symbols, shape.gram, shape.half)
     grams, halves = ids.of[shape.gram], ids.of[shape.half]
     place = (grams & ~_PLACE) | np.arange(len(grams), dtype=U)
     anchor = (_least(place, shape.size - shape.gram + 1) & _PLACE).astype(np.int64)
+    if alive is not None:
+        anchor = np.where(alive, anchor, -1)
     first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
     count = np.diff(np.concatenate((first, [len(anchor)])))
     anchor = anchor[first]
+    if alive is not None:
+        first, count, anchor = (x[anchor >= 0] for x in (first, count, anchor))
     context = context_ids(halves, shape, first, count, anchor - first)
     return first + at, count, grams[anchor].view(np.int64), context.view(np.int64), anchor - first

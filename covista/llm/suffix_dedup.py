@@ -1,11 +1,14 @@
 """Suffix-array dedup over bytes by bucket-pointer refinement.
 
-Suffixes go into buckets by their first q-gram, and buckets are refined by the bucket identifiers of later offsets until
-they are as deep as a window, as a suffix array would be sorted to that depth. Two changes make it fit many machines.
-A bucket's identifier is made of the identifiers of the two buckets it was refined by (its own and that of a later
-offset), so that it names the same bytes in every document, and the identifier of a later offset is at hand where the
-text is, without a join. And of each window only the suffix at its anchor is looked at first (anchors.py); equal windows
-have equal anchors, so a bucket of one suffix ends all windows around it.
+Suffixes go into buckets by their first q-gram. A bucket's pointer is its first suffix. Buckets are then sorted by the
+bucket identifiers at later offsets, +q, +2q and so on, each round starting from the pointers that the round before has
+updated, until they are as deep as a window, as a suffix array would be sorted to that depth; a suffix that is alone in
+its bucket leaves at once.
+
+One row for each suffix would be some 16 times the input. So of each window only the suffix at its anchor is put into a
+bucket first (anchors.py): equal windows have equal anchors, so a bucket of one suffix ends all windows around it. What
+is left is refined in pieces of neighbouring suffixes, and suffix by suffix only at the end. The q-grams' identifiers
+name their bytes, so that those of later offsets are read where the text is, without a join by position.
 """
 
 from __future__ import annotations
@@ -24,23 +27,40 @@ from .common import keyed_texts, scratch_table, text_column, to_batch
 SIZE, GRAM, PIECE = 400, 128, 16
 
 
+def refined(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (rid, start, key, piece, grams array<long>, ...) whose bucket has two members and more when it is depth q-grams deep, with the bucket's pointer (p_rid, p_start).
+
+    The first buckets are those of (key, piece). Each round sorts by (pointer, identifier at the next offset) and gives
+    every bucket that comes of it the pointer to its first member.
+    """
+    bucket = ["key", "piece"]
+    for k in range(depth):
+        keyed = rows.withColumn("later", F.col("grams")[k])
+        groups = keyed.groupBy(*bucket, "later").agg(F.count("*").alias("c"), F.min(F.struct("rid", "start")).alias("p")).where("c > 1")
+        groups = scratch_table(groups.select(*bucket, "later", F.col("p.rid").alias("q_rid"), F.col("p.start").alias("q_start")))
+        met = keyed.join(groups, [*bucket, "later"])
+        rows = scratch_table(met.drop("later", "p_rid", "p_start").withColumnsRenamed({"q_rid": "p_rid", "q_start": "p_start"}))
+        bucket = ["p_rid", "p_start"]
+    return rows.drop("grams", "piece")
+
+
 def repeated_windows(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, piece: int = PIECE) -> list[DataFrame]:
-    """(doc_id, th, start, n): runs of n windows of size bytes, each of which also begins elsewhere.
-
-    Round 1: buckets by the q-gram at the anchor; buckets of one suffix are done.
-    Round 2: buckets are refined by the identifiers at all offsets that the windows around an anchor reach, earlier and
-    later; those of two and more are repeated, with all their windows. A bucket that is refined into several, of which
-    one has one suffix only, goes on with one suffix of each.
-    Round 3: the same for piece windows at a time, at equal offsets from the anchor; their bucket is refined by the
-    identifier of the bytes that all windows at these offsets hold, so pieces that differ in these are done.
-    Round 4: the same for single windows.
+    """(rid, start, n): runs of n windows of size bytes, each of which also begins elsewhere.
+
+    Buckets by the q-gram at the anchor; buckets of one suffix are done. Runs of windows around one anchor that are the
+    same bytes as a whole are repeated; a bucket in which one run is alone goes on with one run of each kind. These are
+    cut into pieces of neighbouring windows at equal offsets from the anchor, and refined() by the q-grams that all
+    windows of a piece hold. Pieces that are the same as a whole are repeated, of the others single windows are compared.
     """
     shape = anchors.Shape(size, min(gram, size))
     piece = min(piece, size - shape.half + 1)  # what a piece's windows share is half a window at least
+    shared = size - piece + 1
+    offsets = sorted({*range(0, shared - shape.gram + 1, shape.gram), shared - shape.gram}) if shared >= shape.gram else []
     runs = scratch_table(repeats.window_runs(keyed, anchors.byte_symbols, shape))
     whole, rest = repeats.split(repeats.with_repeated_keys(runs), "key")
 
-    def pieces(halves, start, n, place, key):
+    def pieces(symbols, halves, start, n, place, key):
+        grams = anchors.Ids(symbols, shape.gram).of[shape.gram] if offsets else None
         for at in range(0, len(start), 512):
             s, m, a, k = (x[at : at + 512] for x in (start, n, place, key))
             each, offset = repeats.flat(s, m), np.repeat(s + a, m)
@@ -49,13 +69,15 @@ def repeated_windows(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, piece
             first = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]) | (run[1:] != run[:-1])) + 1))
             count = np.diff(np.concatenate((first, [len(each)])))
             context = anchors.context_ids(halves, shape, each[first], count, offset[first] - each[first]).view(np.int64)
-            core = (s + a)[run[first]] - group[first] * piece  # from here on, size - piece + 1 bytes
-            key = anchors.join(k[run[first]].view(anchors.U), anchors.join(halves[core], halves[core + size - piece + 1 - shape.half])).view(np.int64)
-            yield {"start": each[first], "n": count.astype(np.int32), "place": (offset[first] - each[first]).astype(np.int32), "key": key, "piece": group[first].astype(np.int32), "context": context}
+            core = (s + a)[run[first]] - group[first] * piece  # from here on, shared bytes
+            ids = grams[core[:, None] + np.array(offsets)].view(np.int64) if offsets else np.empty((len(core), 0), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(core) + 1, dtype=np.int32) * len(offsets)), pa.array(ids.ravel()))
+            yield {"start": each[first], "n": count.astype(np.int32), "place": (offset[first] - each[first]).astype(np.int32), "key": k[run[first]], "piece": group[first].astype(np.int32), "context": context, "grams": lists}
 
-    kinds = {"start": pa.int64(), "n": pa.int32(), "place": pa.int32(), "key": pa.int64(), "piece": pa.int32(), "context": pa.int64()}
+    kinds = {"start": pa.int64(), "n": pa.int32(), "place": pa.int32(), "key": pa.int64(), "piece": pa.int32(), "context": pa.int64(), "grams": pa.list_(pa.int64())}
     parts = scratch_table(repeats.expand(keyed, rest, anchors.byte_symbols, shape, kinds, pieces))
-    some, rest = repeats.split(parts, "key", "piece")
+    parts = refined(parts, len(offsets)) if offsets else parts.withColumns({"p_rid": F.col("key"), "p_start": F.col("piece").cast("long")}).drop("grams", "piece")
+    some, rest = repeats.split(parts, "p_rid", "p_start")
     return [whole, some, repeats.single_windows(keyed, rest, anchors.byte_symbols, shape)]
 
 
@@ -80,7 +102,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
                     out[k].append(v)
             yield to_batch(out, schema)
 
-    keyed = keyed_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    keyed = keyed_texts(docs, id_col, text_col)
     return repeats.attach(keyed, *repeated_windows(keyed, size, gram)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -12,22 +12,39 @@ from pyspark.sql import functions as F
 from . import anchors, repeats
 from .common import keyed_texts, scratch_table, text_column, to_batch
 
-#: Words of a window.
-SIZE = 35
+#: Words of a window, and of the windows of the first level.
+SIZE, FIRST = 35, 9
 
 
-def repeated_windows(keyed: DataFrame, size: int = SIZE) -> list[DataFrame]:
-    """(doc_id, th, start, n): runs of n windows of size words, each of which also begins elsewhere.
+def lengths(size: int = SIZE, first: int = FIRST) -> list[int]:
+    """The lengths of the levels: first, twice that, and so on, each no more than twice the one before; size is the last."""
+    out = [min(first, size)]
+    while out[-1] < size:
+        out.append(min(2 * out[-1], size))
+    return out
 
-    First length: size/2 words, rounded up, read at the places that the windows choose by content (anchors.py); those
-    that are found once are dropped, with all windows around them. Second length: the windows of size words around what
-    is left. Neighbouring windows are counted together, as one run of words; only where a run is alone, but a part of it
-    could repeat, are its windows counted one by one.
-    """
-    shape = anchors.Shape(size, (size + 1) // 2)
-    runs = scratch_table(repeats.window_runs(keyed, anchors.word_symbols, shape))
-    whole, rest = repeats.split(repeats.with_repeated_keys(runs), "key")
 
+def repeated_windows(keyed: DataFrame, size: int = SIZE, first: int = FIRST) -> list[DataFrame]:
+    """(rid, start, n): runs of n windows of size words, each of which also begins elsewhere.
+
+    Each level looks at the windows of size words that are left. In each of them it reads one window of the level's
+    length, at a place that the words themselves choose (anchors.py), so that equal windows read the same. Where that is
+    found once in the whole table, the window of size words around it is found once, and is dropped; the others are read
+    again at twice the length, until no candidates survive or the length is size. Neighbouring windows that read the same
+    place are one row. At the last level, equal runs of windows are counted as a whole; only where a run is alone, but a
+    part of it could repeat, its windows are counted one by one.
+    """
+    *short, _ = lengths(size, first)
+    alive = None
+    for length in short:
+        runs = scratch_table(repeats.window_runs(keyed, anchors.word_symbols, anchors.Shape(size, length), alive))
+        alive = repeats.with_repeated_keys(runs)
+        if alive.isEmpty():
+            return [alive]
+    shape = anchors.Shape(size, short[-1] if short else size)
+    if alive is None:
+        alive = repeats.with_repeated_keys(scratch_table(repeats.window_runs(keyed, anchors.word_symbols, shape)))
+    whole, rest = repeats.split(alive, "key")
     return [whole, repeats.single_windows(keyed, rest, anchors.word_symbols, shape)]
 
 
@@ -51,7 +68,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
                     out[k].append(v)
             yield to_batch(out, schema)
 
-    keyed = keyed_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    keyed = keyed_texts(docs, id_col, text_col)
     return repeats.attach(keyed, *repeated_windows(keyed, size)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
