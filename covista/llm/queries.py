@@ -25,7 +25,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_secret_scan(spark, sf_dir):
-    return secret_scan.digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents"), words=tokenizer()[0]))
 
 
 def op3_chat_quotes(spark, sf_dir):

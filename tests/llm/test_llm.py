@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("covista.llm")
 from covista.llm import anchors, bpe, exact_dedup, lang_id, mixing, near_dup, queries, quotes, secret_scan, suffix_dedup, topk, word_repeats  # noqa: E402
-from covista.llm.common import components  # noqa: E402
+from covista.llm.common import components, through_sieve  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, th long, key string, start int, n int"
 R = random.Random(11)
@@ -64,6 +64,40 @@ def test_byte_repeats(spark, size):
     assert {i: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for i, x in got.items()} == suffix_dedup.brute_force(rows, size)
 
 
+@pytest.mark.parametrize(("first", "size", "want"), [(9, 35, [9, 18, 35]), (1, 35, [1, 2, 4, 8, 16, 32, 35]), (9, 5, [5]), (8, 16, [8, 16])])
+def test_levels_double(spark, first, size, want):
+    assert word_repeats.lengths(size, first) == want
+    rows = corpus()
+    keyed = word_repeats.keyed_texts(table(spark, rows))
+    found = {tuple(x) for f in word_repeats.repeated_windows(keyed, size, first) for x in f.select("rid", "start", "n").collect()}
+    seen = Counter(tuple(w[k : k + size]) for w in ((t or "").encode().split() for _, t in rows) for k in range(len(w) - size + 1))
+    text = {x["rid"]: x["text"].encode().split() for x in keyed.collect()}
+    got = {(r, k) for r, s, n in found for k in range(s, s + n)}
+    assert got == {(r, k) for r, w in text.items() for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1}
+
+
+def test_repeats_in_texts_longer_than_a_tile(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(280_000))
+    rows = [(1, long), (2, "x" * 90 + long[130_500:131_900] + "y" * 50), (3, long[:500]), (4, None)]
+    got = by_id(suffix_dedup.remove_repeats(table(spark, rows)))
+    assert {i: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for i, x in got.items()} == suffix_dedup.brute_force(rows)
+    words = [(1, " ".join(r.choice(WORDS) for _ in range(140_000)))]
+    words.append((2, " ".join(words[0][1].split()[131_000:131_200])))
+    got = by_id(word_repeats.remove_repeats(table(spark, words)))
+    assert {i: (a, b, hashlib.sha256(k).hexdigest()) for i, (a, b, k) in got.items()} == word_repeats.brute_force(words)
+
+
+def test_sieves_lose_nothing(spark):
+    rows = spark.range(3000).withColumns({"a.b": F.col("id") * 2, "_k": F.lit(1)})
+    maybe, out = through_sieve(rows, F.xxhash64("id"), spark.range(0, 3000, 7).select(F.xxhash64("id").alias("h")))
+    assert maybe.columns == out.columns == rows.columns
+    inside, outside = ({x["id"] for x in d.collect()} for d in (maybe, out))
+    assert inside | outside == set(range(3000)) and not inside & outside and set(range(0, 3000, 7)) <= inside and len(inside) < 600
+    none, all_ = through_sieve(rows, F.xxhash64("id"), spark.range(0).select("id"))
+    assert none.count() == 0 and all_.count() == 3000
+
+
 def test_a_repeated_row_is_another_place(spark):
     text = prose(50)
     assert [r["n_removed"] for r in word_repeats.remove_repeats(table(spark, [(1, text), (1, text)]), 10).collect()] == [50, 50]
@@ -88,6 +122,9 @@ def test_exact_dedup(spark):
         best = min(same, key=lambda x: (-len(x[0]), x[1] is not None, x[1] or 0))[1]
         assert (keep, size, digest) == (best, len(same), hashlib.sha256(norm[i].encode()).hexdigest())
         assert kept == (i == best)
+    clash = table(spark, rows).withColumns({"__norm": F.lit(5), "_row": F.lit(6), "a.b": F.lit(7)})
+    assert exact_dedup.without_copies(clash).columns == clash.columns and {tuple(x)[-3:] for x in exact_dedup.without_copies(clash).collect()} == {(5, 6, 7)}
+    assert {tuple(x)[-3:] for x in near_dup.without_near_copies(clash).collect()} == {(5, 6, 7)}
     left = exact_dedup.without_copies(table(spark, [*rows, (9, "abc"), (9, "abc")]))
     assert left.columns == table(spark, rows).columns
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == sorted(i or 0 for i in {x[1] for x in got if x[1] is not None} | {None})
@@ -111,6 +148,50 @@ def test_language_profiles(spark):
     assert all((a == b).all() for a, b in zip(lang_id.grams(long), lang_id.grams(long, tile=50), strict=True))
 
 
+def test_predictions_against_brute_force(spark):
+    r = random.Random(6)
+    kinds = {"aa": "abcdef", "bb": "defghi", "cc": "ghiabc"}
+    text = lambda k: " ".join("".join(r.choice(kinds[k]) for _ in range(r.randrange(1, 6))) for _ in range(25)) + r.choice([".", "é 1", ""])
+    rows = [(i, text(k), k) for i, k in enumerate("aa bb cc".split() * 15)] + [(None, "", "aa"), (7, "x", None), (7, "x", None), (50, "long " * 30_000, "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "code": F.lit(2), "share": F.lit(3)})
+
+    def profile(texts):
+        seen = Counter()
+        for t in texts:
+            w = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+            seen.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n].strip() and len(w) > 2)
+        # ties by the code points, of shorter ones first
+        code = lambda g: int("".join(f"{1 if c == ' ' else ord(c):021b}" for c in g), 2)
+        return [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], code(x[0])))[: lang_id.PROFILE]]
+
+    learned = {k: profile([t for _, t, x in rows if x == k]) for k in ("aa", "bb", "cc", "dd")}
+
+    def slow(t):
+        own = profile([t])
+        if not own:
+            return lang_id.UNKNOWN, 0.0
+        far = {k: sum(min(abs(p.index(g) - i), lang_id.PROFILE) if g in p else lang_id.PROFILE for i, g in enumerate(own)) for k, p in learned.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        return best, 1 - far[best] / (lang_id.PROFILE * len(own))
+
+    got = lang_id.identify(df, lang_id.fit(df)).collect()
+    assert len(got) == len(rows)
+    for (_, t, _), x in zip(rows, got, strict=True):
+        want = slow(t)
+        assert x["lang_pred"] == want[0] and abs(x["score"] - want[1]) < 1e-9
+
+
+def test_every_language_gets_a_profile(spark):
+    df = spark.createDataFrame([(i, chr(0x4E00 + i) * 9, f"l{i}") for i in range(600)], "doc_id long, text string, lang string")
+    assert len(lang_id.fit(df).languages) == 600
+
+
+def test_known_rows_keep_their_columns(spark):
+    df = table(spark, [(1, "abc def"), (1, "abc def"), (2, None), (3, "12")]).withColumn("a.b", F.lit(4))
+    kept = lang_id.keep_known(df, lang_id.fit(df), 0.1, relabel="source")
+    assert kept.columns == df.columns and [(x["doc_id"], x["source"], x["a.b"]) for x in kept.collect()] == [(1, "en", 4)] * 2
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     def slow(value):
         brute = [0.0]
@@ -131,6 +212,16 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secret_scan.guess_cost("password")[0] < 2 < 8 < secret_scan.guess_cost("kX9#fL2$vQ")[0]
 
 
+def test_plain_words_are_no_secrets(spark):
+    words = secret_scan.ranked_words(queries.tokenizer()[0])
+    for t in ("Your password is required to continue.", "the token is expired and", "password is incorrect"):
+        assert secret_scan.scan(t, ranks=words) == []
+    value = "k9!Qz7#mWx" * 3000
+    rows = [(1, f'password = "{value}"'), (2, 'api_key: "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"'), (2, 'api_key: "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"')]
+    got = secret_scan.digests(secret_scan.find_secrets(table(spark, rows), words=queries.tokenizer()[0])).collect()
+    assert [(x["n_assign"], x["n_guess"]) for x in got] == [(0, 1), (1, 1), (1, 1)] or [(x["n_assign"], x["n_guess"]) for x in got] == [(0, 0), (1, 1), (1, 1)]
+
+
 def test_secret_spans(spark):
     text = "é password = 'abc' Token:\"abcdef12\" secret:=x AKIA" + "A" * 16 + " AKIAB " + "0a" * 12 + " pwd: kX9#fL2$vQw; pwd is password1 passphrase is summer"
     found = secret_scan.scan(text)
@@ -154,16 +245,25 @@ def test_values_in_credential_contexts(text, values):
 def test_bpe_chunks_give_the_tokens_of_the_whole_text(spark):
     path, pattern = queries.tokenizer()
     small = bpe.Codec(path, pattern, chunk=40, overlap=8)
+    cut = 0
     r = random.Random(7)
     for _ in range(150):
         text = "".join(r.choice(["a", "Word", " ", "  ", "\n", "'ll", "'", "12", "é", "!?", "日本", " ", "😀"]) for _ in range(r.randrange(400)))
-        ids = [t for p in small.encode(text) for t in p]
+        parts = small.encode(text)
+        cut += len(parts) > 1
+        ids = [t for p in parts for t in p]
         assert ids == small.encoding.encode_ordinary(text) and small.decode(ids) == text.encode()
+    assert cut > 30
     rows = [(1, "a" * 50_000), (2, None), (3, ""), (4, prose(9000)), (5, " " * 40_000 + "x")]
     got = {x["doc_id"]: x for x in bpe.round_trip(table(spark, rows), path, pattern).collect()}
     for i, t in rows:
         ids = small.encoding.encode_ordinary(t or "")
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    many = [(i, "".join(r.choice(["Word", " ", "\n", "123456", "é", "😀 "]) for _ in range(r.randrange(200)))) for i in range(60)]
+    for x in bpe.encode(table(spark, many), path, pattern, chunk=40, overlap=8).collect():
+        assert list(x["ids"]) == small.encoding.encode_ordinary(many[x["doc_id"]][1])
+    own = table(spark, rows).withColumns({"ids": F.lit(1), "nth": F.lit(2), "a.b": F.lit(3)}).withColumnRenamed("a.b", "a_b")
+    assert [x["a_b"] for x in bpe.tokenised(own, path, pattern, keep=("doc_id", "a_b", "nth")).collect()] == [3] * 5
     tokens = bpe.encode(table(spark, rows), path, pattern)
     assert {x["doc_id"]: bytes(x["bytes"]) for x in bpe.decode(tokens, path, pattern).collect()} == {i: (t or "").encode() for i, t in rows}
 
@@ -211,38 +311,62 @@ def test_components(spark):
     assert got == {**{i: (0,) for i in range(41)}, 100: (100,), 101: (100,), 102: (100,)}
 
 
-def test_mixing_reaches_its_marginals(spark):
-    r = random.Random(10)
-    rows = [(i, prose(r.randrange(1, 200), r), r.choice(["en", "en", "fr", None]), r.choice("ppppq")) for i in range(600)] + [(700, None, "en", "p"), (701, "", None, None), (None, "a b", "en", "q")]
+def mixed_rows(r):
+    rows = [(i, prose(r.randrange(1, 200), r), r.choice(["en", "en", "fr", None]), r.choice("ppppq")) for i in range(600)]
+    return rows + [(700, None, "en", "p"), (701, "", None, None), (None, "a b", "en", "q"), (702, "word " * 20_000, "en", "p")]
+
+
+def goal(have, weights, budget):
+    """Water-filling, one value after the other."""
+    have, weights = {k: float(v) for k, v in have.items()}, dict(weights)
+    left, out = budget * sum(have.values()), {}
+    while True:
+        level = left / sum(weights.values())
+        full = [k for k in weights if weights[k] * level >= have[k]]
+        if not full:
+            return out | {k: w * level for k, w in weights.items()}
+        for k in full:
+            out[k] = have[k]
+            left -= have[k]
+            del weights[k]
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 3.0, "fr": 1.0}, "source": {"p": 3.0, "q": 1.0}}])
+def test_the_sample_has_its_target_marginals(spark, targets):
+    rows = mixed_rows(random.Random(10))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    described = mixing.described(df)
-    cells = mixing.rake(mixing.cells_of(described), rounds=40).toPandas()
-    total = cells["w"].sum()
+    out = mixing.mix(df, 0.3, targets).toPandas()
+    assert len(out) == len(rows) and not out[out.tokens == 0].kept.any()
+    total = out.tokens.sum()
+    assert abs((out.p * out.tokens).sum() / total - 0.3) < 0.01 and out.p.between(0, 1).all()
     for d in mixing.DIMENSIONS:
-        share = cells.groupby(d)["tokens"].sum() ** mixing.FLATTEN
-        assert np.allclose(cells.groupby(d)["w"].sum() / total, share / share.sum(), atol=1e-3)
-    steps = mixing.rake(mixing.cells_of(described), rounds=40, task_cells=0).toPandas()
+        have = {k: v for k, v in out.groupby(d)["tokens"].sum().items() if v}
+        given = (targets or {}).get(d)
+        want = goal(have, {k: v**mixing.FLATTEN for k, v in have.items()} if given is None else {k: given[k] for k in have if k in given}, 0.3)
+        got = (out.p * out.tokens).groupby(out[d]).sum()
+        assert all(abs(got[k] / total - want.get(k, 0) / total) < 0.01 for k in have), (d, got, want)
+
+
+def test_both_ways_of_raking_agree(spark):
+    df = spark.createDataFrame(mixed_rows(random.Random(10)), "doc_id long, text string, lang string, source string")
+    cells = mixing.cells_of(mixing.described(df))
     by = list(mixing.DIMENSIONS)
-    assert len(steps) == len(cells) and np.allclose(cells.sort_values(by)["w"], steps.sort_values(by)["w"])
-    out = mixing.mix(df).toPandas()
-    assert len(out) == len(rows) and abs((out.p * out.tokens).sum() / out.tokens.sum() - mixing.BUDGET) < 0.01
-    assert not out[out.tokens == 0].kept.any() and set(out[out.source.isna()].index) == set()
-    kept = mixing.sample(df)
-    assert kept.columns == df.columns and kept.count() == int(out.kept.sum())
+    one, steps = (mixing.rake(cells, task_cells=n, tolerance=1e-6).toPandas().sort_values(by) for n in (mixing.TASK_CELLS, 0))
+    assert len(one) == len(steps) and np.allclose(one["x"], steps["x"])
+    assert (one["x"] <= one["tokens"] + 1e-9).all()
 
 
-def test_raking_goes_on_until_skewed_marginals_are_met(spark):
-    cells = spark.createDataFrame([("a", "x", "t", 10_000), ("a", "y", "t", 100), ("b", "y", "t", 300), ("b", "x", "t", 2)], "source string, lang string, topic string, tokens long")
-    for tolerance, task_cells in ((mixing.TOLERANCE, mixing.TASK_CELLS), (0.03, 0)):
-        got = mixing.rake(cells, task_cells=task_cells, tolerance=tolerance).toPandas()
-        for d in mixing.DIMENSIONS:
-            share = got.groupby(d)["tokens"].sum() ** mixing.FLATTEN
-            assert np.allclose(got.groupby(d)["w"].sum(), share / share.sum(), rtol=1.01 * tolerance, atol=0), d
+def test_samples_keep_clashing_columns_and_own_topics(spark):
+    df = spark.createDataFrame(mixed_rows(random.Random(3)), "doc_id long, text string, lang string, source string").withColumns({"a.b": F.lit(1), "own": F.lit("x"), "topic": F.lit("t"), "p": F.lit(7), "tokens": F.lit(2), "w": F.lit(1)})
+    kept = mixing.sample(df, topic=F.col("topic"))
+    out = mixing.mix(df, topic=F.col("topic"))
+    assert kept.columns == df.columns and kept.count() == out.where("kept").count() and {x[0] for x in out.select("topic").collect()} == {"t"}
+    assert {tuple(x)[4:] for x in kept.collect()} == {(1, "x", "t", 7, 2, 1)}
 
 
 def test_raking_ends_and_tells_where_targets_are_out_of_reach(spark, caplog):
     cells = spark.createDataFrame([("a", "x", "t", 10_000), ("b", "x", "t", 300), ("c", "y", "t", 2)], "source string, lang string, topic string, tokens long")
-    assert mixing.rake(cells).count() == 3
+    assert mixing.rake(cells, 0.5, {"source": {"c": 1.0, "a": 1.0}, "lang": {"x": 1.0}}).count() == 3
     assert "targets out of reach" in caplog.text
 
 
@@ -259,7 +383,24 @@ def test_top_k(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0)
     assert few.count() == 2
-    assert topk._scores(np.array([[2.0**40, 1.0]]), np.array([2.0**40, 1.0]))[0] == (1 << 63) - 1
+    assert topk._scores(np.array([[2.0**30, 1.0]]), np.array([2.0**30, 1.0]))[0] == (1 << 60) + 1
+    with pytest.raises(OverflowError):
+        topk._scores(np.array([[2.0**40, 1.0]]), np.array([2.0**40, 1.0]))
+
+
+def test_pivots_leave_most_of_clustered_vectors_unread(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in centres[i % 40] + r.normal(size=16) * 0.02]) for i in range(4000)], "vec_id long, embedding array<double>").withColumns({"key": F.lit(1), "cell": F.lit(2), "block": F.lit("b"), "v.x": F.lit(3)})
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, with_read=True)
+    read = got.where("rank = 1").agg(F.avg("n_read")).first()[0]
+    assert read < 0.5 * 4000 and got.count() == 80 * 5
+
+
+def test_queries_that_share_an_id_are_queries_each(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 1, 65536), (0, 1, 1, 65536), (0, 2, 0, 0), (0, 2, 0, 0)]
 
 
 def test_quotes_link_and_order(spark):
@@ -283,6 +424,16 @@ def test_short_quotes_link_within_their_conversation(spark):
     assert {k: (x["parent_turn"], x["by_quote"], x["source_conv"], x["n_quoted"], x["n_linked"]) for k, x in got.items() if k[1] > 2 or k[0] == 2} == {(1, 3): (0, True, None, 1, 1), (1, 4): (1, True, None, 1, 1), (2, 0): (None, False, None, 1, 0)}
 
 
+def test_pipeline_stages_take_empty_tables_nulls_and_repeats(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], ddl)
+    odd = spark.createDataFrame([(1, prose(60), None, None, 3), (1, prose(60), "en", "s", None), (None, prose(60), "en", "s", 1), (2, None, None, None, None)], ddl)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, "").collect() == []
+        assert len(stage(spark, odd, "").collect()) <= 4
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b = prose(90), prose(90)
