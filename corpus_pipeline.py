@@ -21,7 +21,7 @@ BUDGET = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lang_id.keep_known(docs, lang_id.fit(docs), LEAST_SCORE)
+    return lang_id.keep_known(docs, lang_id.fit(docs), LEAST_SCORE, relabel="lang")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
