@@ -42,9 +42,10 @@ def histogram_percentile(hist: DataFrame, percent: float, centre: bool = False)
 
 
 def best_of(rows: DataFrame, keys: list[str], value: str, then: list[str]) -> DataFrame:
-    """One row for each key: that of the least value; a known value before none, ties by the columns `then`."""
-    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(known.desc(), F.col(value).asc(), *then))
+    """One row for each key: that of the least finite value, ties by the columns `then`; without any, the first by these."""
+    v = F.col(value).cast("double")
+    known = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(known.asc_nulls_last(), *then))
     return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 

@@ -34,28 +34,12 @@ def cluster_pairs(members: DataFrame, cluster: str, context: str, feature: str)
     return a.join(a.toDF("c", "j", "feature_j"), "c").where("i < j").select("i", "j", "feature_i", "feature_j")
 
 
-def pruned_pairs(pairs: DataFrame, gap: int, top: int) -> DataFrame:
-    """Pairs whose indexes differ by gap or less, and the top of the others by what they share (ties by i, j)."""
-    near = pairs.where(F.col("j") - F.col("i") <= gap)
-    far = pairs.where(F.col("j") - F.col("i") > gap).orderBy(F.desc("shared"), "i", "j").limit(top)
-    return near.unionByName(far)
-
-
 def first_match(left: DataFrame, right: DataFrame, on: list[str], source: str, target: str) -> DataFrame:
     """(source, target): for each source the target of its first common key, keys in order, then targets."""
     x = left.select(*on, F.col(source).alias("source")).join(right.select(*on, F.col(target).alias("target")), on)
     return x.groupBy("source").agg(F.min(F.struct(*on, "target"))["target"].alias("target"))
 
 
-def paired_in_two_stages(left: DataFrame, right: DataFrame, key: str, digest: str, name: str) -> DataFrame:
-    """(left, right, stage): first by digests that one row of each side has, then the rest by name, first of each side."""
-    once = lambda d: d.join(d.groupBy(digest).count().where("count = 1").select(digest), digest, "left_semi")
-    by_digest = once(left).select(F.col(key).alias("left"), digest).join(once(right).select(F.col(key).alias("right"), digest), digest).select("left", "right")
-    first = lambda d, side: d.join(by_digest.select(F.col(side).alias(key)), key, "left_anti").groupBy(name).agg(F.min(key).alias(side))
-    by_name = first(left, "left").join(first(right, "right"), name).select("left", "right")
-    return by_digest.withColumn("stage", F.lit(1)).unionByName(by_name.withColumn("stage", F.lit(2)))
-
-
 def compared_sets(left: DataFrame, right: DataFrame, group: str, item: str) -> DataFrame:
     """(group, common, left_only, right_only): how the items of each group differ between two tables."""
     a = left.select(group, item).distinct().withColumn("l", F.lit(1))
@@ -66,53 +50,35 @@ def compared_sets(left: DataFrame, right: DataFrame, group: str, item: str) -> D
     return both.groupBy(group).agg(count(l & r)("common"), count(l & ~r)("left_only"), count(~l & r)("right_only"))
 
 
-def within_reach(points: DataFrame, row: str, group: str, x: str, y: str, reach: str, cell: float) -> DataFrame:
+def within_reach(points: DataFrame, row: str, group: str, x: str, y: str, reach: str) -> DataFrame:
     """(row, other, distance): others of the group within each row's own reach; directed, without self pairs.
 
-    Positions are binned in cells; each row asks the cells that its reach touches, so the join is on equal keys. A
-    missing reach asks nothing, and a missing position is not found.
+    Reaches are put into levels of powers of 2. A row asks the cells, as wide as its level, that its reach touches, four
+    at most; the rows that are found stand once in each level's cells, so the join is on equal keys however unlike the
+    reaches are. A reach beyond the group's extent asks its whole group. A missing reach asks nothing, and a missing
+    position is not found. A negative reach is an error.
     """
-    p = points.select(F.col(row).alias("row"), F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(reach).alias("reach"))
-    p = p.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    at = lambda c: F.floor(c / cell)
-    span = lambda c: F.explode(F.sequence(at(F.col(c) - F.col("reach")), at(F.col(c) + F.col("reach"))))
-    ask = p.where("reach >= 0 and not isnan(reach)").withColumn("cx", span("x")).withColumn("cy", span("y"))
-    found = p.select("g", F.col("row").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
-    near = ask.join(found, ["g", "cx", "cy"]).where("row <> other")
-    distance = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    p = points.select(F.col(row).alias("row"), F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(reach).cast("double").alias("reach"))
+    p = p.withColumn("reach", F.when(F.col("reach") < 0, F.raise_error(F.lit("a reach mustn't be negative"))).otherwise(F.col("reach")))
+    p = p.where("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('inf') and abs(y) < double('inf')")
+    extent = p.groupBy("g").agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 2 + 1).alias("most"))
+    ask = p.where("not isnan(reach)").join(extent, "g").withColumn("span", F.least("reach", "most"))
+    ask = ask.withColumn("level", F.when(F.col("span") > 0, F.ceil(F.log2(F.col("span")))).otherwise(F.lit(-1074)).cast("int"))
+    ask = ask.withColumn("level", F.greatest("level", F.ceil(F.log2("most")).cast("int") - 40))
+    wide = F.pow(F.lit(2.0), F.col("level") + 1)
+    at = lambda c: F.floor(c / wide)
+    ends = lambda c: F.explode(F.sequence(at(F.col(c) - F.col("span")), at(F.col(c) + F.col("span"))))
+    ask = ask.withColumn("cx", ends("x")).withColumn("cy", ends("y"))
+    levels = ask.select("g", "level").distinct()
+    found = p.select("g", F.col("row").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(levels, "g")
+    found = found.withColumn("cx", at(F.col("ox"))).withColumn("cy", at(F.col("oy")))
+    near = ask.join(found, ["g", "level", "cx", "cy"]).where("row <> other")
+    distance = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
     return near.withColumn("distance", distance).where("distance <= reach").select("row", "other", "distance")
 
 
-def covered_by_finer(points: DataFrame, row: str, group: str, owner: str, x: str, y: str, reach: str, radius: str, cell: float, ratio: float = 2.0, finest: float = 0.0, least: int = 2) -> DataFrame:
+def covered_by_finer(points: DataFrame, row: str, group: str, owner: str, x: str, y: str, reach: str, radius: str, ratio: float = 2.0, finest: float = 0.0, least: int = 2) -> DataFrame:
     """The rows that stay: a row goes if a row of another owner, finer by ratio, is within its reach; then owners with fewer than least rows go."""
-    size = points.select(F.col(row).alias("row"), F.col(owner).alias("owner"), F.col(radius).alias("radius"))
-    near = within_reach(points, row, group, x, y, reach, cell)
-    near = near.join(size, "row").join(size.toDF("other", "other_owner", "other_radius"), "other")
-    gone = near.where((F.col("owner") != F.col("other_owner")) & (F.col("other_radius") < F.col("radius")) & (F.col("radius") >= ratio * F.col("other_radius")) & (F.col("other_radius") >= finest))
-    left = size.join(gone.select("row"), "row", "left_anti")
-    enough = left.groupBy("owner").count().where(F.col("count") >= least).select("owner")
-    return left.join(enough, "owner", "left_semi").select("row", "owner", "radius")
-
+    from .tracks import prune_covered
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-
-
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, limit: float | None = None) -> DataFrame:
-    """(query, key, distance, rank): the k nearest rows of each query by L2 distance, itself left out; ties by key.
-
-    Exact: each query meets every row. Queries are the smaller side; a distance above limit is no match.
-    """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    x = q.crossJoin(rows.select(F.col(key).alias("key"), F.col(vector).alias("v"))).where("query <> key")
-    x = x.select("query", "key", F.sqrt(squared_distance(F.col("qv"), F.col("v"))).alias("distance"))
-    if limit is not None:
-        x = x.where(F.col("distance") <= limit)
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= k)
-
-
-def mutual_best(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
-    """(left, right, distance): pairs that are each other's nearest."""
-    there = nearest(left, right, key, vector, 1).select(F.col("query").alias("left"), F.col("key").alias("right"), "distance")
-    back = nearest(right, left, key, vector, 1).select(F.col("key").alias("left"), F.col("query").alias("right"))
-    return there.join(back, ["left", "right"])
+    return prune_covered(points, row, group, owner, x, y, reach, radius, None, ratio, finest, least)[0].select("row", "owner", "radius")

@@ -15,10 +15,11 @@ def triangulated(rays: DataFrame, key: str, centre: tuple[str, str, str], direct
     """
     d, c = [F.col(x) for x in direction], [F.col(x) for x in centre]
     norm = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
-    u = [x / norm for x in d]
+    u = [x / F.when(norm > 0, norm) for x in d]  # a ray without a direction is left out of all sums
     m = [[F.lit(float(i == j)) - u[i] * u[j] for j in range(3)] for i in range(3)]
-    sums = [F.sum(m[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)]
-    sums += [F.sum(sum((m[i][j] * c[j] for j in range(3)), F.lit(0.0))).alias(f"b{i}") for i in range(3)]
+    names = [f"m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i}" for i in range(3)]
+    sums = [F.sum(m[i][j]) for i in range(3) for j in range(i, 3)]
+    sums += [F.sum(sum((m[i][j] * c[j] for j in range(3)), F.lit(0.0))) for i in range(3)]
 
     def solve(frames):
         for f in frames:
@@ -32,7 +33,7 @@ def triangulated(rays: DataFrame, key: str, centre: tuple[str, str, str], direct
                 x[ok] = np.linalg.solve(a[ok], b[ok][:, :, None])[:, :, 0]
             yield pd.DataFrame({key: f[key], "n": f["n"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
-    grouped = rays.groupBy(key).agg(F.count("*").alias("n"), *sums)
+    grouped = rays.groupBy(key).agg(F.count(F.when(norm > 0, 1)).alias("n"), *[F.coalesce(s, F.lit(0.0)).alias(c) for s, c in zip(sums, names, strict=True)])
     return grouped.mapInPandas(solve, f"{key} {dict(rays.dtypes)[key]}, n long, x double, y double, z double")
 
 

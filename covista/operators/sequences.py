@@ -14,12 +14,12 @@ def _median(values) -> F.Column:
 
 
 def step_ratios(frames: DataFrame, sequence: str, order: str, step: str, width: int = 8) -> DataFrame:
-    """frames with ratio: the median of the width - 1 steps before over that of the steps after; two and more on each side, medians above 0."""
+    """frames with ratio: the median of the width - 1 steps before over that of the steps after, or the other way round, whichever is larger; two and more on each side, medians above 0."""
     w = Window.partitionBy(sequence).orderBy(order)
     lists = frames.withColumn("__b", F.collect_list(step).over(w.rowsBetween(-(width - 1), -1))).withColumn("__a", F.collect_list(step).over(w.rowsBetween(1, width - 1)))
     before, after = _median(F.col("__b")), _median(F.col("__a"))
     ok = (F.size("__b") >= 2) & (F.size("__a") >= 2) & (before > 0) & (after > 0)
-    return lists.withColumn("ratio", F.when(ok, before / after)).drop("__a", "__b")
+    return lists.withColumn("ratio", F.when(ok, F.greatest(before / after, after / before))).drop("__a", "__b")
 
 
 def robust_z(frames: DataFrame, sequence: str, order: str, value: str, side: int = 12, least: int = 5) -> DataFrame:
@@ -31,14 +31,6 @@ def robust_z(frames: DataFrame, sequence: str, order: str, value: str, side: int
     return x.withColumn("z", F.when((F.size("__near") >= least) & (F.col("__mad") > 0), (F.col(value) - F.col("__mid")) / (1.4826 * F.col("__mad")))).drop("__near", "__mid", "__mad")
 
 
-def motion_path(frames: DataFrame, sequence: str, order: str, value: str, sigmas: float = 2.5) -> DataFrame:
-    """frames with step (from the last), bend (from the middle of its neighbours) and jump: step above mean + sigmas population deviations."""
-    w, all_ = Window.partitionBy(sequence).orderBy(order), Window.partitionBy(sequence)
-    x = frames.withColumn("step", F.abs(F.col(value) - F.lag(value).over(w)))
-    x = x.withColumn("bend", F.abs(F.col(value) - (F.lag(value).over(w) + F.lead(value).over(w)) / 2))
-    return x.withColumn("jump", F.coalesce(F.col("step") > F.avg("step").over(all_) + sigmas * F.stddev_pop("step").over(all_), F.lit(False)))
-
-
 def core_edges(edges: DataFrame, sequence: str, order: str, flags: str, shared: str) -> DataFrame:
     """One edge of each run of flagged edges (flags > 0, numbered in a row by order): most flags, then least shared, then first."""
     w = Window.partitionBy(sequence).orderBy(order)
@@ -54,11 +46,3 @@ def overlapping_windows(frames: DataFrame, sequence: str, order: str, size: int,
     last = F.greatest(F.lit(0), F.ceil((F.col("__n") - size) / step)).cast("int")
     first = F.greatest(F.lit(0), F.floor((F.col("__k") - size) / step) + 1).cast("int")
     return x.withColumn("window", F.explode(F.sequence(first, F.greatest(first, F.least(last, F.floor(F.col("__k") / step).cast("int")))))).drop("__k", "__n")
-
-
-def overlap_drops(frames: DataFrame, sequence: str, order: str, item: str, width: int) -> DataFrame:
-    """(sequence, order, shared): items that are both in the last width frames up to a frame and in the width frames after it."""
-    w = Window.partitionBy(sequence).orderBy(order)
-    before = F.collect_set(item).over(w.rowsBetween(-(width - 1), 0))
-    after = F.collect_set(item).over(w.rowsBetween(1, width))
-    return frames.select(sequence, order, F.size(F.array_intersect(before, after)).alias("shared"))

@@ -7,9 +7,10 @@ points with stored values, supplier and customer for images, embeddings for desc
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covista.functions import formula
-from covista.operators import aggregates, filters, graphs, joins, kernels, sequences
+from covista.operators import aggregates, filters, graphs, joins, kernels, neighbors, sequences, tracks
 from covista.sources import bundle
 from covista.streaming import windows
 
@@ -68,9 +69,9 @@ def covisibility_reach(spark, sf_dir):
     return joins.reached(_pairs(spark, sf_dir), table(spark, sf_dir, "supplier", "s_suppkey"), [1, 2, 3], 5)
 
 
-@register("pair_pruning", f"WITH p AS ({_PAIRS}) SELECT * FROM p WHERE j - i <= 3 UNION ALL (SELECT * FROM p WHERE j - i > 3 ORDER BY shared DESC, i, j LIMIT 200)")
+@register("pair_pruning", f"WITH p AS ({_PAIRS}) SELECT * FROM p WHERE j - i <= 3 UNION ALL (SELECT * FROM (SELECT * FROM p WHERE j - i > 3 ORDER BY j - i, i, j LIMIT 600) ORDER BY shared DESC, i, j LIMIT 200)")
 def pair_pruning(spark, sf_dir):
-    return joins.pruned_pairs(_pairs(spark, sf_dir), 3, 200)
+    return tracks.pruned_pairs(_pairs(spark, sf_dir).withColumnRenamed("shared", "score"), 3, most_distant=200).withColumnRenamed("score", "shared")
 
 
 @register("cluster_pairs", "SELECT a.l_suppkey AS i, b.l_suppkey AS j, a.l_partkey AS feature_i, b.l_partkey AS feature_j FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey")
@@ -122,11 +123,11 @@ def glob_exclude(spark, sf_dir):
     return filters.matching(table(spark, sf_dir, "part", "p_partkey", "p_type"), "p_type", "*[AEIOU]?", keep=False)
 
 
-_METRICS = "SELECT s_suppkey AS l_suppkey, coalesce(n, 0) AS n, round(mean, 6) AS mean, median, max FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, avg(l_discount) AS mean, round(quantile_cont(l_discount, 0.5), 6) AS median, max(l_discount) AS max FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey) ON l_suppkey = s_suppkey"
+_METRICS = "SELECT s_suppkey AS l_suppkey, coalesce(n, 0) AS n, round(mean, 6) AS mean, median, max FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, avg(l_discount) AS mean, round(quantile_cont(l_discount, 0.5), 6) AS median, max(l_discount) AS max FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey"
 
 
 def _metrics(spark, sf_dir):
-    got = aggregates.group_metrics(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), table(spark, sf_dir, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_discount")
+    got = aggregates.group_metrics(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), table(spark, sf_dir, "lineitem"), "l_suppkey", "l_discount")
     return got.withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
 
 
@@ -184,10 +185,13 @@ def first_correspondence(spark, sf_dir):
 _SIDES = "l AS (SELECT p_partkey AS k, p_size || ':' || floor(p_retailprice)::BIGINT AS d, p_type AS n FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS k, p_size || ':' || floor(p_retailprice)::BIGINT AS d, p_type AS n FROM part WHERE p_partkey % 2 = 1), one AS (SELECT l.k AS \"left\", r.k AS \"right\" FROM l JOIN r USING (d) WHERE d IN (SELECT d FROM l GROUP BY d HAVING count(*) = 1) AND d IN (SELECT d FROM r GROUP BY d HAVING count(*) = 1))"
 
 
-@register("two_stage_pairing", f"WITH {_SIDES} SELECT \"left\", \"right\", 1 AS stage FROM one UNION ALL SELECT a.k, b.k, 2 FROM (SELECT n, min(k) AS k FROM l WHERE k NOT IN (SELECT \"left\" FROM one) GROUP BY n) a JOIN (SELECT n, min(k) AS k FROM r WHERE k NOT IN (SELECT \"right\" FROM one) GROUP BY n) b USING (n)")
+@register("two_stage_pairing", f"""WITH {_SIDES}, c AS (SELECT d, (SELECT count(*) FROM l WHERE l.d = x.d) AS nl, (SELECT count(*) FROM r WHERE r.d = x.d) AS nr FROM (SELECT d FROM l INTERSECT SELECT d FROM r) x),
+  two AS (SELECT a.k AS "left", b.k AS "right" FROM (SELECT d, n, min(k) AS k FROM l WHERE d IN (SELECT d FROM c WHERE nl > 1 OR nr > 1) GROUP BY ALL) a JOIN (SELECT d, n, min(k) AS k FROM r GROUP BY ALL) b USING (d, n)),
+  done AS (SELECT *, 1 AS stage FROM one UNION ALL SELECT *, 2 FROM two)
+  SELECT * FROM done UNION ALL SELECT a.k, b.k, 3 FROM (SELECT n, min(k) AS k FROM l WHERE k NOT IN (SELECT "left" FROM done) GROUP BY n) a JOIN (SELECT n, min(k) AS k FROM r WHERE k NOT IN (SELECT "right" FROM done) GROUP BY n) b USING (n)""")
 def two_stage_pairing(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(":", "p_size", F.floor("p_retailprice")).alias("digest"), "p_type")
-    return joins.paired_in_two_stages(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "digest", "p_type")
+    return tracks.paired_images(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "digest", "p_type")
 
 
 @register("set_compare", "WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A') SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, count(*) FILTER (a.l_partkey IS NOT NULL AND b.l_partkey IS NOT NULL) AS common, count(*) FILTER (b.l_partkey IS NULL) AS left_only, count(*) FILTER (a.l_partkey IS NULL) AS right_only FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey GROUP BY 1")
@@ -200,14 +204,10 @@ def _frames(spark, sf_dir):
     return table(spark, sf_dir, "events", "user_id", "event_id", "value")
 
 
-@register("motion_path", "WITH s AS (SELECT user_id, event_id, value, abs(value - lag(value) OVER w) AS step, abs(value - (lag(value) OVER w + lead(value) OVER w) / 2) AS bend FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, round(step, 6) AS step, round(bend, 6) AS bend, coalesce(step > avg(step) OVER p + 2.5 * stddev_pop(step) OVER p, false) AS jump FROM s WINDOW p AS (PARTITION BY user_id)")
-def motion_path(spark, sf_dir):
-    return sequences.motion_path(_frames(spark, sf_dir), "user_id", "event_id", "value").select("user_id", "event_id", F.round("step", 6).alias("step"), F.round("bend", 6).alias("bend"), "jump")
-
-
-@register("step_ratio", "WITH s AS (SELECT user_id, event_id, abs(value - lag(value) OVER w) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), t AS (SELECT *, count(step) OVER b AS nb, count(step) OVER a AS na, quantile_cont(step, 0.5) OVER b AS mb, quantile_cont(step, 0.5) OVER a AS ma FROM s WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)) SELECT user_id, event_id, CASE WHEN nb >= 2 AND na >= 2 AND mb > 0 AND ma > 0 THEN round(mb / ma, 5) END AS ratio FROM t")
+@register("step_ratio", "WITH s AS (SELECT user_id, event_id, abs(value - lag(value) OVER w) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), t AS (SELECT *, count(step) OVER b AS nb, count(step) OVER a AS na, quantile_cont(step, 0.5) OVER b AS mb, quantile_cont(step, 0.5) OVER a AS ma FROM s WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)) SELECT user_id, event_id, CASE WHEN nb >= 2 AND na >= 2 AND mb > 0 AND ma > 0 THEN round(greatest(mb / ma, ma / mb), 5) END AS ratio FROM t")
 def step_ratio(spark, sf_dir):
-    steps = sequences.motion_path(_frames(spark, sf_dir), "user_id", "event_id", "value").select("user_id", "event_id", "step")
+    last = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    steps = _frames(spark, sf_dir).select("user_id", "event_id", F.abs(F.col("value") - last).alias("step"))
     return sequences.step_ratios(steps, "user_id", "event_id", "step").select("user_id", "event_id", F.round("ratio", 5).alias("ratio"))
 
 
@@ -240,12 +240,12 @@ def _points(spark, sf_dir):
 
 @register("keypoint_reach", f"WITH {_POINTS} SELECT a.row, b.row AS other, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.g = b.g AND a.row <> b.row WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= a.reach")
 def keypoint_reach(spark, sf_dir):
-    return joins.within_reach(_points(spark, sf_dir), "row", "g", "x", "y", "reach", 400.0).withColumn("distance", F.round("distance", 6))
+    return joins.within_reach(_points(spark, sf_dir), "row", "g", "x", "y", "reach").withColumn("distance", F.round("distance", 6))
 
 
 @register("covered_by_finer", f"WITH {_POINTS}, s AS (SELECT a.* FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.g = b.g AND a.row <> b.row AND a.owner <> b.owner AND b.radius < a.radius AND a.radius >= 2 * b.radius AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= a.reach)) SELECT row, owner, radius FROM s WHERE owner IN (SELECT owner FROM s GROUP BY owner HAVING count(*) >= 2)")
 def covered_by_finer(spark, sf_dir):
-    return joins.covered_by_finer(_points(spark, sf_dir), "row", "g", "owner", "x", "y", "reach", "radius", 400.0)
+    return joins.covered_by_finer(_points(spark, sf_dir), "row", "g", "owner", "x", "y", "reach", "radius")
 
 
 @register("coverage_grid", "WITH p AS (SELECT c_nationkey AS image, c_acctbal / 10 AS x, (c_custkey % 1000)::DOUBLE AS y FROM customer), c AS (SELECT image, cx::INTEGER AS cx, cy::INTEGER AS cy FROM p, range(20) a(cx), range(20) b(cy) WHERE pow((cx + 0.5) * 50 - x, 2) + pow((cy + 0.5) * 50 - y, 2) <= 3600) SELECT image, cx, cy, least(255, count(*)) AS n FROM c GROUP BY ALL")
@@ -267,19 +267,19 @@ _KNN = f"WITH d AS (SELECT a.vec_id AS query, b.vec_id AS key, {_L2} AS distance
 @register("knn_exact", _KNN + "rank <= 3")
 def knn_exact(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return joins.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 5))
+    return neighbors.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 5))
 
 
 @register("knn_threshold", _KNN + "rank <= 1 AND distance <= 1.3")
 def knn_threshold(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return joins.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 1, 1.3).withColumn("distance", F.round("distance", 5))
+    return neighbors.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 1, 1.3).withColumn("distance", F.round("distance", 5))
 
 
-@register("mutual_best", f"WITH d AS (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", {_L2} AS distance FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label = 2 WHERE a.vec_id % 10 < 5 AND b.vec_id % 10 < 5) SELECT \"left\", \"right\", round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY \"left\" ORDER BY distance, \"right\") = 1 AND row_number() OVER (PARTITION BY \"right\" ORDER BY distance, \"left\") = 1")
+@register("mutual_best", f"WITH d AS (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", {_L2} AS distance FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label = 2) SELECT \"left\", \"right\", round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY \"left\" ORDER BY distance, \"right\") = 1 AND row_number() OVER (PARTITION BY \"right\" ORDER BY distance, \"left\") = 1")
 def mutual_best(spark, sf_dir):
-    v = _vectors(spark, sf_dir).where("vec_id % 10 < 5")
-    return joins.mutual_best(v.where("label = 1"), v.where("label = 2"), "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
+    v = _vectors(spark, sf_dir)
+    return neighbors.mutual_best(v.where("label = 1"), v.where("label = 2"), "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
 
 
 @register("wilson_bound", "WITH c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS hits, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, round(greatest(0, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 8) AS low FROM c")
@@ -298,9 +298,9 @@ def group_max_distance(spark, sf_dir):
     return graphs.group_max_distance(table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_tax"), "l_suppkey", "l_quantity", "l_tax").withColumn("farthest", F.round("farthest", 6))
 
 
-@register("connected_groups", "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey * 7 % 1009 AS y FROM part WHERE p_partkey % 3 > 0), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x) SELECT x AS id, least(x, min(y)) AS root FROM r GROUP BY x")
+@register("connected_groups", "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey * 7 % 1009 AS y FROM part), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x) SELECT x AS id, least(x, min(y)) AS root FROM r GROUP BY x")
 def connected_groups(spark, sf_dir):
-    e = table(spark, sf_dir, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("x"), (F.col("p_partkey") * 7 % 1009).alias("y"))
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), (F.col("p_partkey") * 7 % 1009).alias("y"))
     return graphs.connected_groups(e, "x", "y")
 
 
@@ -321,11 +321,10 @@ def rms_error(spark, sf_dir):
     return m.groupBy("l_orderkey").agg(F.round(F.sqrt(F.avg(F.col("l_discount") * F.col("l_discount"))), 6).alias("rms"))
 
 
-@register("select_clusters", "WITH k AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey <= 60), c AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS cluster FROM (SELECT l_orderkey FROM k GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2)) SELECT cluster, l_suppkey, l_partkey FROM k JOIN c USING (l_orderkey)")
+@register("select_clusters", "WITH k AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'N')), c AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS cluster FROM (SELECT l_orderkey FROM k GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2)) SELECT cluster, l_suppkey, l_partkey FROM k JOIN c USING (l_orderkey)")
 def select_clusters(spark, sf_dir):
-    k = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_returnflag").where("l_returnflag <> 'R' and l_suppkey <= 60")
-    c = filters.renumbered(k.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("span")).where("span >= 2").select("l_orderkey"), "l_orderkey", "cluster")
-    return k.join(c, "l_orderkey").select("cluster", "l_suppkey", "l_partkey")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), F.col("l_linenumber").alias("ordinal"), F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("status"), F.lit(True).alias("refinable"), "l_partkey")
+    return tracks.selected_clusters(m, statuses=["A", "N"])[0].select("cluster", F.col("image").alias("l_suppkey"), "l_partkey")
 
 
 @register("windowed_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -359,3 +358,6 @@ def align_similarity(spark, sf_dir):
     q = p.select("x", "y", "z", (2 * F.col("y") + 1).alias("u"), (-2 * F.col("x") + 2).alias("v"), (2 * F.col("z") + 3).alias("w"))
     scale, rotation, move = kernels.similarity(q, ("x", "y", "z"), ("u", "v", "w"))
     return spark.createDataFrame([(scale, *map(float, rotation.ravel()), *map(float, move))], ", ".join(f"{c} double" for c in ("scale", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz")))
+
+
+from . import function_queries, motion_queries, track_queries  # noqa: E402, F401  (they register their own)
