@@ -70,7 +70,20 @@ def bucketed_table(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+#: Rows that go to a Python worker at a time: texts and signatures are long, and Spark's own default is 10,000.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS at most, which bounds the memory of workers and of the JVM's buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, in a session with bounded_batches()."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -148,6 +161,13 @@ def components(edges: DataFrame) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("id"), "root").distinct())
 
 
+def slices(batches, rows: int = 256):
+    """The batches in parts of no more than so many rows, which bounds what is made of them at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes."""
     return batch.column(name).cast(pa.binary()).to_pylist()

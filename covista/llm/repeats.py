@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import repeated_keys, scratch_table, text_column, to_batch
+from .common import repeated_keys, scratch_table, slices, text_column, to_batch
 
 Symbols = Callable[[bytes], np.ndarray]
 _TYPES = {pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
@@ -32,7 +32,7 @@ def window_runs(keyed: DataFrame, symbols: Symbols, shape: anchors.Shape, alive:
     schema, some = _schema(start=pa.int64(), n=pa.int32(), place=pa.int32(), key=pa.int64(), context=pa.int64()), alive is not None
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             who, parts = [], []
             for i, text in enumerate(text_column(b)):
                 if len(text) < shape.size:
@@ -81,7 +81,7 @@ def expand(keyed: DataFrame, runs: DataFrame, symbols: Symbols, shape: anchors.S
     schema = _schema(**columns)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for i, (text, wanted) in enumerate(zip(text_column(b), b.column("runs"), strict=True)):
                 x = symbols(text)
                 halves = anchors.half_ids(x, shape)

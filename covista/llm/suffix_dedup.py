@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, repeats
-from .common import keyed_texts, scratch_table, text_column, to_batch
+from .common import keyed_texts, scratch_table, slices, text_column, to_batch
 
 #: Bytes of a window, bytes of the first buckets' q-grams, windows that the third round looks at together.
 SIZE, GRAM, PIECE = 400, 128, 16
@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = {f.name: [] for f in schema}
             for i, text, starts, lengths in zip(b.column("doc_id").to_pylist(), text_column(b), b.column("starts"), b.column("lengths"), strict=True):
                 gone = repeats.covered(len(text), starts.as_py(), lengths.as_py(), size)

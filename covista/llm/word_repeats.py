@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, repeats
-from .common import keyed_texts, scratch_table, text_column, to_batch
+from .common import keyed_texts, scratch_table, slices, text_column, to_batch
 
 #: Words of a window, and of the windows of the first level.
 SIZE, FIRST = 35, 9
@@ -58,7 +58,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = {f.name: [] for f in schema}
             for i, text, starts, lengths in zip(b.column("doc_id").to_pylist(), text_column(b), b.column("starts"), b.column("lengths"), strict=True):
                 words = text.split()
