@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from covista.llm import bpe, exact_dedup, lang_id, mixing, near_dup
-from covista.llm.common import read_table, shared_dir
+from covista.llm.common import bounded_batches, read_table, shared_dir
 from covista.llm.queries import tokenizer
 
 #: The least score of a document whose language counts as known. Prose in a learned language has about 0.5 and more.
@@ -21,22 +21,27 @@ BUDGET = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return lang_id.keep_known(docs, lang_id.fit(docs), LEAST_SCORE, relabel="lang")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_dup.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return mixing.sample(docs, budget=BUDGET)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return bpe.tokenised(docs, *tokenizer(), keep=("doc_id", "lang", "source"))
 
 
