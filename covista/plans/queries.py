@@ -340,9 +340,17 @@ def constraint_violations(spark, sf_dir):
     return bundle.violations({"points": points, "images": images, "observations": seen})
 
 
-@register("trimmed_median")
+def _trimmed(passes: int = 8) -> str:
+    """The median under ever lower limits of twice the median, pass by pass."""
+    out = ["c0 AS (SELECT quantile_cont(l_extendedprice, 0.5) AS q, 2 * quantile_cont(l_extendedprice, 0.5) AS most FROM lineitem)"]
+    for k in range(1, passes):
+        out.append(f"c{k} AS (SELECT quantile_cont(l_extendedprice, 0.5) AS q, least(any_value(most), 2 * quantile_cont(l_extendedprice, 0.5)) AS most FROM lineitem, c{k - 1} WHERE l_extendedprice <= most)")
+    return f"WITH {', '.join(out)} SELECT round(q, 4) AS value FROM c{passes - 1}"
+
+
+@register("trimmed_median", _trimmed())
 def trimmed_median(spark, sf_dir):
-    return spark.createDataFrame([(graphs.trimmed_median(table(spark, sf_dir, "lineitem", "l_extendedprice"), "l_extendedprice"),)], "value double")
+    return spark.createDataFrame([(round(graphs.trimmed_median(table(spark, sf_dir, "lineitem", "l_extendedprice"), "l_extendedprice"), 4),)], "value double")
 
 
 @register("triangulate")
@@ -352,12 +360,16 @@ def triangulate(spark, sf_dir):
     return kernels.triangulated(rays, "l_orderkey", ("cx", "cy", "cz"), ("dx", "dy", "dz"))
 
 
-@register("align_similarity")
+#: Targets are planted: turned by a quarter, twice as large, moved by (1, 2, 3).
+_PLANTED = ", ".join(f"{v}::DOUBLE AS {k}" for k, v in zip(["scale", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"], (2, 0, 1, 0, -1, 0, 0, 0, 0, 1, 1, 2, 3), strict=True))
+
+
+@register("align_similarity", f"SELECT {_PLANTED}")
 def align_similarity(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(a) for c, a in (("l_quantity", "x"), ("l_discount", "y"), ("l_tax", "z"))])
     q = p.select("x", "y", "z", (2 * F.col("y") + 1).alias("u"), (-2 * F.col("x") + 2).alias("v"), (2 * F.col("z") + 3).alias("w"))
     scale, rotation, move = kernels.similarity(q, ("x", "y", "z"), ("u", "v", "w"))
-    return spark.createDataFrame([(scale, *map(float, rotation.ravel()), *map(float, move))], ", ".join(f"{c} double" for c in ("scale", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz")))
+    return spark.createDataFrame([tuple(round(float(x), 6) + 0.0 for x in (scale, *rotation.ravel(), *move))], ", ".join(f"{c} double" for c in ("scale", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz")))
 
 
-from . import function_queries, motion_queries, track_queries  # noqa: E402, F401  (they register their own)
+from . import function_queries, motion_queries, report_queries, track_queries  # noqa: E402, F401  (they register their own)

@@ -17,8 +17,9 @@ def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
 
 def digest(df: DataFrame) -> DataFrame:
     """(n, digest): a digest of the rows as a set, whatever their order and partitions."""
-    names = sorted(df.columns)
-    row = F.xxhash64(*[c for n in names for c in (F.col(n), F.col(n).isNull())]).cast("decimal(20,0)")  # xxhash64 passes over nulls
+    names, types = sorted(df.columns), dict(df.dtypes)
+    value = lambda n: F.sort_array(F.map_entries(n)) if types[n].startswith("map<") else F.col(n)
+    row = F.xxhash64(*[c for n in names for c in (value(n), F.col(n).isNull())]).cast("decimal(20,0)")  # xxhash64 passes over nulls
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
 
 
