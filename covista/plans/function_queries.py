@@ -19,34 +19,42 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.cos(h).alias("w"), (0.6 * F.sin(h)).alias("x"), F.lit(0.0).alias("y"), (0.8 * F.sin(h)).alias("z"), F.col("l_tax").alias("vx"), F.col("l_discount").alias("vy"), F.col("l_linenumber").cast("double").alias("vz"))
 
 
-_Q = g.columns("w", "x", "y", "z")
-_V = g.columns("vx", "vy", "vz")
+
+
+def _q():
+    return g.columns("w", "x", "y", "z")
+
+
+def _v():
+    return g.columns("vx", "vy", "vz")
+
+
 _ROTATED = """t AS (SELECT l_orderkey, l_linenumber, %s, l_tax AS vx, l_discount AS vy, l_linenumber::DOUBLE AS vz FROM lineitem),
  m AS (SELECT *, (1 - 2 * (y * y + z * z)) * vx + 2 * (x * y - w * z) * vy + 2 * (x * z + w * y) * vz AS rx, 2 * (x * y + w * z) * vx + (1 - 2 * (x * x + z * z)) * vy + 2 * (y * z - w * x) * vz AS ry, 2 * (x * z - w * y) * vx + 2 * (y * z + w * x) * vy + (1 - 2 * (x * x + y * y)) * vz AS rz FROM t)""" % _TURN  # noqa: UP031
 
 
 @register("quaternion_rotate", f"WITH {_ROTATED} SELECT l_orderkey, l_linenumber, round(rx, 8) AS rx, round(ry, 8) AS ry, round(rz, 8) AS rz FROM m")
 def quaternion_rotate(spark, sf_dir):
-    r = g.q_rotate(_Q, _V)
+    r = g.q_rotate(_q(), _v())
     return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(c, 8).alias(n) for c, n in zip(r, ("rx", "ry", "rz"), strict=True)])
 
 
 @register("quaternion_angle", f"WITH {_ROTATED} SELECT l_orderkey, l_linenumber, round(2 * acos(least(1, abs(w))), 5) AS angle FROM m")
 def quaternion_angle(spark, sf_dir):
     one = [F.lit(x) for x in (1.0, 0.0, 0.0, 0.0)]
-    return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(g.q_angle(_Q, one), 5).alias("angle"))
+    return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(g.q_angle(_q(), one), 5).alias("angle"))
 
 
 @register("similarity_points", f"WITH {_ROTATED} SELECT l_orderkey, l_linenumber, round(2 * (-vy) + 1, 6) AS x, round(2 * vx - 2, 6) AS y, round(2 * vz + 0.5, 6) AS z FROM m")
 def similarity_points(spark, sf_dir):
     half = 0.5**0.5
-    moved = g.Similarity((half, 0.0, 0.0, half), (1.0, -2.0, 0.5), 2.0).apply(_V)
+    moved = g.Similarity((half, 0.0, 0.0, half), (1.0, -2.0, 0.5), 2.0).apply(_v())
     return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(n) for c, n in zip(moved, "xyz", strict=True)])
 
 
 @register("camera_centre", f"WITH {_ROTATED} SELECT l_orderkey, l_linenumber, round(sqrt(vx * vx + vy * vy + vz * vz), 6) AS far FROM m")
 def camera_centre(spark, sf_dir):
-    return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(g.norm(g.camera_centre(_Q, _V)), 6).alias("far"))
+    return _turns(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(g.norm(g.camera_centre(_q(), _v())), 6).alias("far"))
 
 
 @register("polar_conversion", "SELECT l_orderkey, l_linenumber, round(atan2(l_tax - 0.04, l_discount - 0.05), 7) AS angle, round(sqrt(pow(l_tax - 0.04, 2) + pow(l_discount - 0.05, 2)), 8) AS radius FROM lineitem")
