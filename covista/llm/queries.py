@@ -6,10 +6,10 @@ import importlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lang_id, mixing, near_dup, quotes, secret_scan, suffix_dedup, topk, word_repeats
+from . import align, bpe, exact_dedup, lang_id, merkle, mixing, near_dup, quotes, secret_scan, simhash, suffix_dedup, topk, word_repeats
 from .common import read_table
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer() -> tuple[str, str]:
@@ -61,11 +61,24 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    public = importlib.import_module("public_tokenizers")
+    return align.align(read_table(spark, sf_dir, "documents"), public.path(BYTE_BPE), public.path(PIECES))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_chat_quotes, op4_near_dedup, op5_substring_words, op6_mixing, op7_exact_topk,
-        op8_byte_bpe, op9_suffix_dedup, op10_exact_dedup,
+        op8_byte_bpe, op9_suffix_dedup, op10_exact_dedup, op11_simhash, op12_token_alignment, op13_merkle_manifest,
     )
 }
-ORACLES = {"op3_chat_quotes": quotes.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_topk": topk.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_chat_quotes": quotes.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_topk": topk.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
