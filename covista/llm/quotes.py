@@ -47,13 +47,19 @@ def link(messages: DataFrame) -> DataFrame:
     """
     found = scratch_table(passages(messages.where("conv_id is not null and turn is not null")))
     quoted, own = found.where("level > 0"), found.where("level = 0")
-    here = scratch_table(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("from_turn")))
-    there = scratch_table(own.where(F.col("chars") >= LEAST).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")))
+    here = scratch_table(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("from_turn"), F.max("chars").alias("own_chars")))
+    long = here.where(F.col("own_chars") >= LEAST).select("hash", F.struct("conv_id", F.col("from_turn").alias("turn")).alias("at"))
+    there = scratch_table(long.groupBy("hash").agg(F.min("at").alias("first")))
+    # the asking conversation may be the first one that has it; then the second is meant
+    others = long.join(there, "hash").where("at.conv_id <> first.conv_id").groupBy("hash").agg(F.min("at").alias("second"))
+    there = scratch_table(there.join(scratch_table(others), "hash", "left"))
+    here = here.drop("own_chars")
     x = quoted.join(here, ["conv_id", "hash"], "left").withColumn("from_turn", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")))
     x = scratch_table(x)
     # short passages, of which some are very common, have no part in the join on the hash alone
     far = x.where(F.col("chars") >= LEAST).join(there, "hash", "left").unionByName(x.where(F.col("chars") < LEAST), allowMissingColumns=True)
-    x = scratch_table(far.select("conv_id", "turn", "level", "chars", "from_turn", F.when(F.col("from_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id")), F.col("first")).alias("first")))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    x = scratch_table(far.select("conv_id", "turn", "level", "chars", "from_turn", F.when(F.col("from_turn").isNull(), other).alias("first")))
     by = x.where("from_turn is not null").groupBy("conv_id", "turn", "level", "from_turn").agg(F.sum("chars").alias("chars"))
     best = by.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "chars", "from_turn"))["from_turn"].alias("linked_turn"))
     rest = x.groupBy("conv_id", "turn").agg(F.min("first").alias("first"), F.count("*").alias("n_quoted"), F.sum((F.col("from_turn").isNotNull() | F.col("first").isNotNull()).cast("long")).alias("n_linked"))
@@ -112,12 +118,12 @@ p AS (
   SELECT DISTINCT conv_id, turn, level, words FROM (
     SELECT conv_id, turn, level, words FROM r WHERE words <> ''
     UNION ALL SELECT conv_id, turn, level, string_agg(words, ' ' ORDER BY k) FROM r WHERE words <> '' GROUP BY conv_id, turn, th, run, level
-  ) WHERE length(words) >= 12
+  )
 ), here AS (SELECT conv_id, words, min(turn) AS from_turn FROM p WHERE level = 0 GROUP BY ALL),
-there AS (SELECT words, min({'c': conv_id, 't': turn}) AS first FROM p WHERE level = 0 GROUP BY ALL),
+there AS (SELECT words, min({'c': conv_id, 't': from_turn}, 2) AS two FROM here WHERE length(words) >= 12 GROUP BY ALL),
 x AS (
   SELECT p.conv_id, p.turn, p.level, length(p.words) AS chars, CASE WHEN h.from_turn < p.turn THEN h.from_turn END AS from_turn,
-         CASE WHEN coalesce(h.from_turn >= p.turn, true) AND t.first.c <> p.conv_id THEN t.first END AS first
+         CASE WHEN coalesce(h.from_turn >= p.turn, true) THEN list_filter(t.two, lambda e: e.c <> p.conv_id)[1] END AS first
   FROM p LEFT JOIN here h ON h.conv_id = p.conv_id AND h.words = p.words LEFT JOIN there t ON t.words = p.words WHERE p.level > 0
 ), best AS (
   SELECT conv_id, turn, arg_max(from_turn, {'l': -level, 'c': chars, 'f': from_turn}) AS linked_turn
