@@ -25,24 +25,42 @@ def _matrix(rows: list, width: int) -> np.ndarray:
 
 def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of x with y; exact, in integers of any size where floats aren't. A score beyond a long is an error."""
-    if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * x.shape[-1] < 2.0**53:
-        return (x @ y).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(r, y, strict=True)) for r in x]
-    return np.array(exact, np.int64)  # raises OverflowError
+    with np.errstate(over="ignore"):
+        easy = np.abs(x).max(axis=1, initial=0) * np.abs(y).max(initial=0) * x.shape[-1] < 2.0**53
+    out = np.zeros(len(x), np.int64)
+    out[easy] = (x[easy] @ y).astype(np.int64)
+    for k in np.flatnonzero(~easy):
+        out[k] = sum(int(a) * int(b) for a, b in zip(x[k], y, strict=True))  # raises OverflowError
+    return out
 
 
 def bounds(size: np.ndarray, of_rows: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Upper bounds of scores: size is |x|^2 + |q|^2 for each row x, of_rows its distances to the pivots, far the query's.
 
     |d(x, p) - d(q, p)| is a lower bound of d(x, q) for each pivot p; the largest, over all pivots, gives
-    (|x|^2 + |q|^2 - bound^2) / 2.
+    (|x|^2 + |q|^2 - bound^2) / 2. Where squares are beyond a double, a distance is infinite or none, and so is the bound:
+    such rows may have any score.
     """
-    bound = np.abs(of_rows - far).max(axis=1, initial=0)
-    return (size - bound * bound) / 2 + 1e-9 * size + 1  # more than rounding can take away
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _reach(size, np.fmax.reduce(np.abs(of_rows - far), axis=1, initial=0))
+
+
+def _reach(size, apart):
+    """The highest score at distance apart or more, with more than rounding can take away; infinite where that isn't finite."""
+    upper = (size - apart * apart) / 2 + 1e-9 * size + 1
+    return np.where(np.isfinite(upper), upper, np.inf)
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    """Squared norms; infinite where a double can't hold them."""
+    with np.errstate(over="ignore"):
+        return (x * x).sum(1)
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T)))
+    return np.where(np.isnan(d), np.inf, d)
 
 
 def search_block(queries: np.ndarray, q_keys: np.ndarray, of_queries: np.ndarray, rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, of_rows: np.ndarray, k: int, least: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[int]]:
@@ -51,16 +69,17 @@ def search_block(queries: np.ndarray, q_keys: np.ndarray, of_queries: np.ndarray
     of_queries and of_rows are the pivot tables. Rows are scored in the order of their bound until it falls below the
     k-th score so far, or below least, which k other rows are known to reach. A row with the query's key is the query.
     """
-    norms, out, read = (rows * rows).sum(1), [], []
+    out, read = [], []
+    norms, q_norms = squares(rows), squares(queries)
     low, high, most = of_rows.min(0, initial=np.inf), of_rows.max(0, initial=0), norms.max(initial=0)
-    for q, own, far, floor in zip(queries, q_keys, of_queries, least, strict=True):
-        size = most + q @ q
-        apart = max(0.0, float(np.maximum(low - far, far - high).max(initial=0)))
-        if not len(rows) or (size - apart * apart) / 2 + 1e-9 * size + 1 < floor:
+    for q, norm, own, far, floor in zip(queries, q_norms, q_keys, of_queries, least, strict=True):
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = _reach(most + norm, np.fmax.reduce(np.fmax(low - far, far - high), initial=0))
+        if not len(rows) or reach < floor:
             out.append([])
             read.append(0)
             continue
-        upper = bounds(norms + q @ q, of_rows, far)
+        upper = bounds(norms + norm, of_rows, far)
         left = np.flatnonzero((upper >= floor) & (keys != own))
         left = left[np.argsort(-upper[left], kind="stable")]
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
@@ -126,7 +145,7 @@ def blocks(table: DataFrame, size: int) -> DataFrame:
 
         x, far = (np.stack([np.frombuffer(v) for v in pdf[c]]) for c in ("v", "far"))
         cell, part = (int(pdf[c].iloc[0]) for c in ("cell", "part"))
-        return pd.DataFrame([{"block": cell << 32 | part, "cell": cell, "keys": pdf["key"].to_numpy(np.int64).tobytes(), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "data": x.tobytes(), "far": far.tobytes(), "low": far.min(0), "high": far.max(0), "most": float((x * x).sum(1).max())}])
+        return pd.DataFrame([{"block": cell << 32 | part, "cell": cell, "keys": pdf["key"].to_numpy(np.int64).tobytes(), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "data": x.tobytes(), "far": far.tobytes(), "low": far.min(0), "high": far.max(0), "most": float(squares(x).max())}])
 
     return scratch_table(placed.groupBy("cell", "part").applyInPandas(run, "block long, cell int, keys binary, ids binary, data binary, far binary, low array<double>, high array<double>, most double"))
 
@@ -136,7 +155,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, id_col
 
     Candidates are all usable() rows but the query's own; ties go to the smaller id; fewer rows give fewer results.
     Shorter vectors count as followed by zeros. Rows that repeat an id are candidates each, and queries each (with the
-    same query_id); other columns are left out; an empty table gives no rows. with_read adds n_read, the candidates that
+    same query_id); other columns are left out; an empty table gives no rows. Components may be as large as doubles are:
+    where squares overflow nothing is ruled out, and only a score beyond a long is an error. with_read adds n_read, the candidates that
     were scored for the query.
 
     The pivot table is computed once and stored with the rows, which are packed in blocks of a bounded size by their
