@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import U, join, mixed, word_symbols
-from .common import components, quoted, scratch_table, text_column, texts, through_sieve, to_batch
+from .common import components, quoted, scratch_table, slices, text_column, texts, through_sieve, to_batch
 
 #: Words of a shingle, least similarity, slots of a signature (a power of 2), bands and slots of a band.
 WORDS, SIMILARITY, SLOTS, BANDS, ROWS = 5, 0.8, 256, 25, 5
@@ -124,38 +124,69 @@ def _alike(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs with that similarity or more, from their whole texts."""
+def _cuts(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, ids, weights) as bytes for the distinct nodes, from their whole texts; no weights stand for all being 1."""
 
     def cut(batches):
         schema = pa.schema([("node", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())])
-        for b in batches:
+        for b in slices(batches):
             found = [shingles(t, words) for t in text_column(b)]
             yield to_batch({"node": b.column("doc_id"), "ids": [i.tobytes() for i, _ in found], "weights": [w.tobytes() if (w != 1).any() else b"" for _, w in found]}, schema)
 
+    return scratch_table(docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(cut, "node long, ids binary, weights binary"))
+
+
+def _weighed(ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(ids, U)
+    return x, np.frombuffer(weights) if weights else np.ones(len(x))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) of the pairs whose similarity is least or more, from their whole texts."""
+
     def compare(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for p in batches:
-            sides = []
-            for i, w in (("ai", "aw"), ("bi", "bw")):
-                ids = [np.frombuffer(v, U) for v in p.column(i).to_pylist()]
-                sides.append([(x, np.frombuffer(v) if v else np.ones(len(x))) for x, v in zip(ids, p.column(w).to_pylist(), strict=True)])
-            found = np.array([similarity(*x, *y) for x, y in zip(*sides, strict=True)], float)
-            ok = pa.array(found >= least)
-            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), pa.array(found)], schema=schema).filter(ok)
+            columns = [p.column(c).to_pylist() for c in ("ai", "aw", "bi", "bw")]
+            ok = [similarity(*_weighed(i, w), *_weighed(j, v)) >= least for i, w, j, v in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], schema=schema).filter(pa.array(ok, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    cuts = scratch_table(docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(cut, "node long, ids binary, weights binary"))
+    cuts = _cuts(nodes, docs, words)
     a, b = (cuts.select(F.col("node").alias(k), F.col("ids").alias(f"{k}i"), F.col("weights").alias(f"{k}w")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ai", "aw", "bi", "bw").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ai", "aw", "bi", "bw").mapInArrow(compare, "a long, b long")
 
 
-def _apart(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b): members of a bucket in different classes, one of them outside the bucket's main class, whose signatures agree enough.
+def spanning(left: list[int], right: list[list[int]], roots: dict[int, int], alike) -> list[tuple[int, int]]:
+    """Links (a, b) that join classes, of the candidates right[k] of each left[k], as far as alike(a, b) says so.
+
+    Candidates that a chain of links has already put into one class aren't asked about, so links are fewer than nodes.
+    """
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    out = []
+    for a, others in zip(left, right, strict=True):
+        for b in others:
+            x, y = find(roots[a]), find(roots[b])
+            if x != y and alike(a, b):
+                up[max(x, y)] = min(x, y)
+                out.append((a, b))
+    return out
+
+
+def _apart(open_: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: float, agree: float) -> DataFrame:
+    """(a, b): links between members of a bucket in different classes, one of them outside the bucket's main class.
 
     open_ has (bucket, node, root, main, size). The members outside the main class are a set of queries against the
-    bucket, in blocks of about BLOCK, so that no task holds a large bucket; pairs are only made where signatures agree,
-    and only in the first of the buckets that both share.
+    bucket, in blocks of about BLOCK, so that no task holds a large bucket. Two blocks meet twice: first with their
+    signatures, which tell each query's candidates (in the first of the buckets that both share only); then those that
+    have or are any bring their shingles, and are compared exactly until all that hang together are linked. A pair of
+    blocks makes no more rows than it has members, however many of them are alike.
     """
     full = open_.join(nodes, "node")
     apart = open_.where("root <> main").groupBy("bucket").agg(F.count("*").alias("q"))
@@ -166,23 +197,44 @@ def _apart(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     left = full.where("root <> main").select("bucket", part("qs").alias("qb"), every("rs").alias("rb"), *own).toDF("bucket", "qb", "rb", *own)
     right = full.select("bucket", every("qs").alias("qb"), part("rs").alias("rb"), *own).toDF("bucket", "qb", "rb", *own)
 
-    def run(key, x, y):
+    def candidates(key, x, y):
         import pandas as pd
 
+        columns = ["bucket", "qb", "rb", "node", "root", "others"]
+        none = pd.DataFrame({c: np.empty(0, np.int64) for c in columns[:-1]} | {"others": np.empty(0, object)})
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return none
         (i, s, k, r), (j, t, m, q) = ((d["node"].to_numpy(), np.stack([np.frombuffer(v, np.uint16) for v in d["signature"]]), np.stack(d["bands"]), d["root"].to_numpy()) for d in (x, y))
-        out = []
+        out, met = [], np.zeros(len(j), bool)
         for n in range(len(i)):
             common = m == k[n]
             ok = (q != r[n]) & (m[np.arange(len(j)), common.argmax(axis=1)] == key[0])
-            ok[ok] = (t[ok] == s[n]).mean(axis=1) >= least
-            out.append(np.stack([np.full(int(ok.sum()), i[n]), j[ok]]))
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            share = np.zeros(len(j))
+            share[ok] = (t[ok] == s[n]).mean(axis=1)
+            near = np.flatnonzero(ok & (share >= agree))
+            if len(near):
+                met[near] = True
+                out.append((*key, i[n], r[n], j[near[np.argsort(-share[near], kind="stable")]]))
+        if not out:
+            return none
+        asked = {o[3] for o in out}
+        out += [(*key, j[n], q[n], None) for n in np.flatnonzero(met) if j[n] not in asked]
+        return pd.DataFrame(out, columns=columns)
+
+    def linked(pdf):
+        import pandas as pd
+
+        held = {n: _weighed(i, w) for n, i, w in zip(pdf["node"].tolist(), pdf["ids"], pdf["weights"], strict=True)}
+        ask = pdf[pdf["others"].notna()].sort_values("node")
+        alike = lambda a, b: similarity(*held[a], *held[b]) >= similar
+        out = spanning(ask["node"].tolist(), [v.tolist() for v in ask["others"]], dict(zip(pdf["node"].tolist(), pdf["root"].tolist(), strict=True)), alike)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ("bucket", "qb", "rb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a long, b long").distinct()
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(candidates, "bucket long, qb long, rb long, node long, root long, others array<long>")
+    met = scratch_table(met)
+    held = met.join(_cuts(scratch_table(met.select("node").distinct()), docs, words), "node")
+    return held.groupBy(*keys).applyInPandas(linked, "a long, b long")
 
 
 def near_links(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"):
@@ -192,7 +244,8 @@ def near_links(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, s
     buckets all members are compared with one of them, the centre: the member that meets most others in all its buckets,
     which in a group of copies is the one the others were made from. Members that don't come into the class of their
     bucket's centre are then compared with all members of other classes: two members that are not compared are in one
-    class already, so no link between classes is lost, and a group of copies stays linear.
+    class already, or a chain of links has put them into one, so no link between classes is lost, and a group of copies
+    stays linear.
     """
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     signed = scratch_table(_signed(docs, words, slots, bands, rows))
@@ -208,7 +261,7 @@ def near_links(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, s
     centres = scratch_table(centres)
 
     def tested(pairs):
-        return scratch_table(_verified(pairs, docs, words, least).select("a", "b"))
+        return scratch_table(_verified(pairs, docs, words, least))
 
     first = placed.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = tested(scratch_table(_alike(scratch_table(first), nodes, least - SLACK)))
@@ -216,8 +269,7 @@ def near_links(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, s
     roots = classes.select(F.col("id").alias("node"), "root")
     mains = centres.join(roots.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("root", "centre").alias("main"))
     open_ = placed.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(scratch_table(mains), "bucket")
-    rest = scratch_table(_apart(scratch_table(open_), nodes, least - SLACK))
-    more = tested(rest)
+    more = scratch_table(_apart(scratch_table(open_), nodes, docs, words, least, least - SLACK))
     if not more.isEmpty():
         classes = scratch_table(components(links.unionByName(more)))
     return members, classes
