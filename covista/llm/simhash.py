@@ -70,25 +70,21 @@ def masks(bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
 def hanging_together(x: np.ndarray, group: np.ndarray, bits: int = BITS) -> np.ndarray:
     """For each fingerprint the place of the first one of its group that a chain of close ones leads to; groups are consecutive.
 
-    All pairs of a group are compared, at one distance after the other.
+    Pairs are compared at one distance after the other, but for those that a chain has already brought together: a dense
+    group is done after a few, and never holds its pairs.
     """
-    label, alive, d, a, b = np.arange(len(x)), np.arange(len(x)), 0, [], []
+    label, alive, d = np.arange(len(x)), np.arange(len(x)), 0
     while len(alive):
         d += 1
         alive = alive[alive + d < len(x)]
         alive = alive[group[alive + d] == group[alive]]
-        near = alive[np.bitwise_count(x[alive] ^ x[alive + d]) <= bits]
-        a.append(near)
-        b.append(near + d)
-    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            break
+        a = alive[label[alive] != label[alive + d]]
+        a = a[np.bitwise_count(x[a] ^ x[a + d]) <= bits]
+        while len(a := a[label[a] != label[a + d]]):
+            p, q = label[a], label[a + d]
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label[label] != label).any():
+                label = label[label]
     return label
 
 
