@@ -130,7 +130,7 @@ class Blocks:
             CREATE OR REPLACE TEMP TABLE f AS
             SELECT doc_id, digest, subroot, now AS folded, list_concat(l.before, o.before) AS b, list_concat(l.after, o.after) AS a
             FROM leaves AS l JOIN tops AS o USING (tid, block)""")
-        deepest = self.db.execute("SELECT coalesce(max(len(b)), 0) FROM f").fetchone()[0]
+        deepest = self.db.execute("SELECT coalesce(max(len(b)), 0) FROM f").fetchall()[0][0]
         for k in range(1, deepest + 1):
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE f AS SELECT * REPLACE (CASE WHEN len(b) >= {k} THEN sha256(b[{k}] || folded || a[{k}]) ELSE folded END AS folded) FROM f")
         return _sql(self.db, "SELECT doc_id, digest AS leaf, subroot, sha256(array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || a[i]), '')) AS proof_sha256, folded AS folded_root FROM f")
