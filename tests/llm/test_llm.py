@@ -1,4 +1,4 @@
-"""The ten operators against brute force, round trips and held-out accuracy, with nulls, empty tables, ties, repeats and clashing names."""
+"""The operators against brute force, round trips and held-out accuracy, with nulls, empty tables, ties, repeats and clashing names."""
 
 import hashlib
 import itertools
@@ -6,12 +6,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("covista.llm")
-from covista.llm import anchors, bpe, exact_dedup, lang_id, mixing, near_dup, queries, quotes, secret_scan, suffix_dedup, topk, word_repeats  # noqa: E402
+from covista.llm import align, anchors, bpe, exact_dedup, lang_id, merkle, mixing, near_dup, queries, quotes, secret_scan, simhash, suffix_dedup, topk, word_repeats  # noqa: E402
 from covista.llm.common import components, through_sieve  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, th long, key string, start int, n int"
@@ -107,7 +108,7 @@ def test_a_repeated_row_is_another_place(spark):
 def test_empty_tables(spark):
     none = table(spark, [(1, "a")]).where("doc_id = 2")
     path, pattern = queries.tokenizer()
-    for df in (word_repeats.remove_repeats(none), suffix_dedup.remove_repeats(none), exact_dedup.exact_dedup(none), exact_dedup.without_copies(none), near_dup.near_duplicates(none), near_dup.without_near_copies(none), mixing.mix(none), mixing.sample(none), bpe.round_trip(none, path, pattern), bpe.tokenised(none, path, pattern), secret_scan.find_secrets(none), lang_id.identify(none, lang_id.fit(none))):
+    for df in (word_repeats.remove_repeats(none), suffix_dedup.remove_repeats(none), exact_dedup.exact_dedup(none), exact_dedup.without_copies(none), near_dup.near_duplicates(none), near_dup.without_near_copies(none), mixing.mix(none), mixing.sample(none), bpe.round_trip(none, path, pattern), bpe.tokenised(none, path, pattern), secret_scan.find_secrets(none), lang_id.identify(none, lang_id.fit(none)), simhash.near_duplicates(none), align.align(none, *files()), merkle.manifest(none)):
         assert df.collect() == []
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0).collect() == []
     assert quotes.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
@@ -388,6 +389,20 @@ def test_top_k(spark):
         topk._scores(np.array([[2.0**40, 1.0]]), np.array([2.0**40, 1.0]))
 
 
+def test_large_components_lose_no_results(spark):
+    rows = [(0, [1.0, 0.0]), (50, [0.5, 0.25]), (3, [0.25, 1.0]), (7, [0.0, 1e160]), (8, [0.0, -1e160]), (100, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk.top_k(df, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") != 50), k=5).collect())
+    v = {i: [int(np.floor(256 * x)) for x in r] for i, r in rows}
+    want = []
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in v.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="(?i)overflow|too large"):
+        topk.top_k(df, F.col("vec_id") == 50).collect()
+
+
 def test_pivots_leave_most_of_clustered_vectors_unread(spark):
     r = np.random.default_rng(2)
     centres = r.normal(size=(40, 16))
@@ -424,6 +439,142 @@ def test_short_quotes_link_within_their_conversation(spark):
     assert {k: (x["parent_turn"], x["by_quote"], x["source_conv"], x["n_quoted"], x["n_linked"]) for k, x in got.items() if k[1] > 2 or k[0] == 2} == {(1, 3): (0, True, None, 1, 1), (1, 4): (1, True, None, 1, 1), (2, 0): (None, False, None, 1, 0)}
 
 
+def test_quotes_find_the_first_other_conversation(spark):
+    line = "A line of more than twelve characters"
+    rows = [(1, 2, "user", "> " + line), (2, 0, "user", line), (1, 5, "assistant", line), (3, 1, "user", line), (4, 0, "user", f"> {line}\nSo it is.")]
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (got[k]["source_conv"], got[k]["source_turn"], got[k]["n_linked"]) for k in [(1, 2), (4, 0)]} == {(1, 2): (2, 0, 1), (4, 0): (1, 5, 1)}
+
+
+def test_the_statement_of_quotes_says_the_same(spark, tmp_path):
+    r = random.Random(8)
+    lines = ["Yes.", "Sounds fine", "A line of more than twelve characters", "Another long line, which is quoted too", "> Yes.", "> > Sounds fine", "> A line of more than twelve characters", ">Another long line, which is quoted too", ""]
+    rows = [(c, t, r.choice(["user", "assistant"]), "\n".join(r.choice(lines) for _ in range(r.randrange(1, 5)))) for c in range(12) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.reply_order(df).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("parent_turn", "source_conv", "source_turn")})
+    df.toPandas().to_parquet(tmp_path / "c.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as from '{tmp_path}/c.parquet'")
+    want = db.sql(f"select {', '.join(got.columns)} from ({quotes.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_dense_classes_without_a_common_centre(spark):
+    """A band of documents, each like its neighbours only: many in a bucket are outside its centre's class."""
+    r = random.Random(21)
+    base, rows = prose(100, r).split(), []
+    for k in range(120):
+        words = list(base)
+        for p in r.sample(range(100), 6 if k % 3 else 2):
+            words[p] = r.choice(WORDS)
+        rows.append((k, " ".join(words)))
+    cut = {i: near_dup.shingles(t.encode()) for i, t in rows}
+    root = {i: i for i in cut}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(cut, 2):
+        if near_dup.similarity(*cut[i], *cut[j]) >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: find(i) for i in cut} and len(set(got.values())) > 1
+
+
+def test_spanning_links_ask_no_more_than_needed():
+    asked = []
+    links = near_dup.spanning([1, 2], [[3, 4, 5], [4, 5]], {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}, lambda a, b: asked.append((a, b)) or b != 5)
+    assert links == [(1, 3), (2, 4)] and asked == [(1, 3), (1, 5), (2, 4), (2, 5)]
+
+
+CASES = [(5, None), (6, ""), (7, " \t\n"), (8, "One two"), (9, "ONE  two"), (10, "a b c d"), (10, "a b c d"), (None, "a b c d e"), (11, "é Ü ß 漢字 x")]
+
+
+@pytest.mark.parametrize(("bits", "blocks", "part"), [(4, 6, 1024), (4, 5, 3), (0, 1, 2), (7, 9, 5)])
+def test_simhash_against_all_pairs(spark, bits, blocks, part):
+    r = random.Random(5)
+    rows = list(CASES)
+    for base in range(8):
+        words = prose(150, r).split()
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(r.randrange(4)):
+                copy[r.randrange(150)] = r.choice(WORDS)
+            rows.append((100 + len(rows), "  ".join(copy)))
+    got = simhash.near_duplicates(table(spark, rows), bits=bits, blocks=blocks, part=part)
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(simhash.brute_force(rows, bits=bits), key=order)
+
+
+def test_simhash_blocks():
+    assert len(simhash.masks()) == 15 and all(20 <= (m & (1 << 64) - 1).bit_count() <= 22 for m in simhash.masks())
+    with pytest.raises(ValueError):
+        simhash.masks(4, 4)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.integers(0, 1 << 63, 40, dtype=np.uint64), 5)
+    x ^= np.uint64(1) << r.integers(0, 64, len(x), dtype=np.uint64)
+    group = np.sort(r.integers(0, 6, len(x)))
+    label = simhash.hanging_together(x, group)
+    for g in set(group.tolist()):
+        at = np.flatnonzero(group == g).tolist()
+        root = {k: k for k in at}
+        find = lambda k: k if root[k] == k else find(root[k])  # noqa: E731, B023
+        for a, b in itertools.combinations(at, 2):
+            if (int(x[a]) ^ int(x[b])).bit_count() <= 4:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+        assert [find(k) for k in at] == label[at].tolist()
+    long = (" ".join(WORDS) + " ") * 300
+    assert f"{simhash.fingerprint(long.encode()):016x}" == simhash.brute_force([(1, long)])[0][1]
+
+
+def files():
+    import public_tokenizers as public
+
+    return public.path(queries.BYTE_BPE), public.path(queries.PIECES)
+
+
+@pytest.mark.parametrize("heavy", [1, 50, 1 << 16])
+def test_alignment_against_the_libraries(spark, heavy):
+    texts = [t for _, t in CASES] + ["a▁b", "naïve  café\r\n\tend ", "<|endoftext|> </s> <0x0A>", "x" * 300, "日本語 und Ελληνικά", "nul\x00here", prose(200), prose(30) + "\n" + prose(30), " lead", "don't 1234567 ..."]
+    rows = [(k, t) for k, t in enumerate(texts * 2)] + [(None, "tail")]
+    got = align.align(table(spark, rows), *files(), heavy=heavy)
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(align.brute_force(rows, *files()), key=order)
+
+
+def test_long_texts_are_cut_where_both_tokenizers_cut():
+    long = prose(3000) + " 漢字" * 50 + "  " + prose(500) + "\n x"
+    whole, cut = align.Pair(*files(), chunk=1 << 30), align.Pair(*files(), chunk=200)
+    assert len(cut.pieces(long)) > 50 and cut.chunk == 200
+    for x, y in zip(whole.encode([long, "", None, "a"]), cut.encode([long, "", None, "a"]), strict=True):
+        assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
+    quick, file = whole.encode_a([" " + long, " it's <|endoftext|>"]), align.Pair._file(files()[0])([" " + long, " it's <|endoftext|>"])
+    assert quick == file
+
+
+def merkle_rows(n, r):
+    lone = [{"doc_id": 1, "source": "only", "lang": None, "n_chars": None, "text": None}, {"doc_id": None, "source": None, "lang": "", "n_chars": 0, "text": "AbC"}, {"doc_id": None, "source": None, "lang": None, "n_chars": 0, "text": "AbC"}]
+    return lone + [{"doc_id": r.randrange(n * 2), "source": r.choice(["hot", "hot", "hot", "É", "z", None]), "lang": r.choice(["en", None]), "n_chars": k, "text": r.choice(["Some TEXT é", "", "lower", None])} for k in range(n)]
+
+
+@pytest.mark.parametrize(("n", "depth"), [(0, 3), (40, 3), (700, 1), (700, 2), (5000, 3)])
+def test_merkle_against_one_tree(spark, n, depth):
+    rows = merkle_rows(n, random.Random(n))
+    df = spark.createDataFrame([tuple(x.values()) + ("x", 1) for x in rows], "doc_id long, source string, lang string, n_chars long, text string, digest string, pos int")
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, merkle.manifest(df, depth=depth).collect()), key=order) == sorted(merkle.brute_force(rows), key=order)
+
+
+def test_merkle_statement_and_one_source(spark, tmp_path):
+    rows = [x for x in merkle_rows(400, random.Random(6)) if x["doc_id"] is not None]
+    for part in (rows, [x for x in rows if x["source"] == "only"], rows[:1] + [x for x in rows if x["source"] == "hot"]):
+        df = spark.createDataFrame([tuple(x.values()) for x in part], "doc_id long, source string, lang string, n_chars long, text string")
+        got = merkle.manifest(df)
+        df.toPandas().astype({"n_chars": "Int64"}).to_parquet(tmp_path / "d.parquet")
+        db = duckdb.connect()
+        db.execute(f"create view documents as from '{tmp_path}/d.parquet'")
+        assert sorted(map(tuple, got.collect())) == sorted(db.sql(f"select {', '.join(got.columns)} from ({merkle.ORACLE})").fetchall())
+
+
 def test_pipeline_stages_take_empty_tables_nulls_and_repeats(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     ddl = "doc_id long, text string, lang string, source string, n_chars long"
