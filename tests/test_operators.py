@@ -45,8 +45,8 @@ def test_renumbering_is_dense_across_blocks(spark):
 
 def test_reach_against_brute_force(spark):
     r = random.Random(2)
-    rows = [(i, r.randrange(3), r.uniform(-50, 50), r.uniform(-50, 50), r.choice([0.0, 5.0, 20.0, NAN])) for i in range(120)] + [(500, 0, NAN, 0.0, 5.0), (501, 0, None, 0.0, 5.0)]
-    got = joins.within_reach(spark.createDataFrame(rows, "row long, g int, x double, y double, reach double"), "row", "g", "x", "y", "reach", 7.0)
+    rows = [(i, r.randrange(3), r.uniform(-50, 50), r.uniform(-50, 50), r.choice([0.0, 5.0, 20.0, NAN, math.inf])) for i in range(120)] + [(500, 0, NAN, 0.0, 5.0), (501, 0, None, 0.0, 5.0)]
+    got = joins.within_reach(spark.createDataFrame(rows, "row long, g int, x double, y double, reach double"), "row", "g", "x", "y", "reach")
     want = {(a[0], b[0]) for a in rows[:120] for b in rows[:120] if a[1] == b[1] and a[0] != b[0] and math.hypot(a[2] - b[2], a[3] - b[3]) <= a[4]}
     assert {(x["row"], x["other"]) for x in got.collect()} == want
 
