@@ -236,6 +236,28 @@ def camrig(spark, a):
         archives.write(spark, a.config, bytes(archives.files(spark, a.path).first()["content"]))
 
 
+def pack(spark, a):
+    """A folder of tables as one archive."""
+    from covista.sources import reconstruction
+
+    print(reconstruction.save(spark, _load(spark, a.folder), a.archive))
+
+
+def unpack(spark, a):
+    """An archive as a folder of tables."""
+    from covista.sources import bundle, reconstruction
+
+    bundle.save(reconstruction.load(spark, a.archive), a.folder)
+
+
+def verify(spark, a):
+    """What is wrong with archives of reconstructions; fails if anything is."""
+    from covista.sources import reconstruction
+
+    if faults := reconstruction.verify(spark, a.archives).orderBy("path", "fault").collect():
+        raise SystemExit("\n".join(f"{f['path']}: {f['fault']}" for f in faults))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="covista", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -267,6 +289,9 @@ def parser() -> argparse.ArgumentParser:
     add(to_colmap_bin, "to-colmap-bin", "folder", "out")
     add(to_colmap_db, "to-colmap-db", "matches", "out")
     add(to_nerfstudio, "to-nerfstudio", "folder", "out")
+    add(pack, "pack", "folder", "archive")
+    add(unpack, "unpack", "archive", "folder")
+    add(verify, "verify").add_argument("archives", nargs="+")
     p = add(camrig, "camrig")
     p.add_argument("what", choices=["create", "cp"])
     p.add_argument("path")

@@ -5,23 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names: the lineage ends there, and it is computed once.
-
-    In local mode a temporary folder is set where none is; on a cluster that is an error. The table goes when the driver's
-    JVM ends.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. In local mode a temporary one is set where none is; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='covista-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/covista-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: the lineage ends there, and it is computed once. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/covista-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Element types by their name in an entry; uint128 are raw digests of 16 bytes.
-TYPES = {"uint8": "u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8", "int32": "<i4", "int64": "<i8", "float32": "<f4", "float64": "<f8", "uint128": "V16"}
+TYPES = {"int8": "i1", "int16": "<i2", "float16": "<f2", "uint8": "u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8", "int32": "<i4", "int64": "<i8", "float32": "<f4", "float64": "<f8", "uint128": "V16"}
 _ARRAY = re.compile(rf"(.+?)((?:\.\d+)*)\.({'|'.join(TYPES)})\.zst")
 HASHES = "content_hash.json.zst"
 #: The sections of each format in the order of their digests, after which entries they have; a name ending in / is a folder,

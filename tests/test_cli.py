@@ -71,3 +71,13 @@ def test_coverage_lookups(spark):
     m = spark.createDataFrame([(0, 0, True), (0, 1, True), (1, 0, True), (1, 1, False), (2, 0, True)], "cluster int, image int, satisfied boolean")
     got = coverage.bridging_clusters(m, spark.createDataFrame([(0, 0), (1, 1)], "image int, grp int")).first()
     assert (got["satisfied"], got["n"]) == (1, 2) and 0 < got["low"] < 0.5
+
+
+def test_archives(spark, folder, tmp_path, capsys):
+    cli.main(["pack", folder, f"{tmp_path}/a.zip"])
+    cli.main(["verify", f"{tmp_path}/a.zip"])
+    cli.main(["unpack", f"{tmp_path}/a.zip", f"{tmp_path}/again"])
+    assert len(lines(capsys, "inspect", f"{tmp_path}/again")) == 7
+    (tmp_path / "b.zip").write_bytes((tmp_path / "a.zip").read_bytes()[:500])
+    with pytest.raises(SystemExit):
+        cli.main(["verify", f"{tmp_path}/b.zip"])
