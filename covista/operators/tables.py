@@ -28,3 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches, key: str, rows: int = 1 << 16):
+    """Frames of about so many rows, or more, that hold all rows of the keys in them, from frames in the order of key.
+
+    The rows of one key are held together, whatever their number; a key that a group's size bounds is its caller's to choose.
+    """
+    import pandas as pd
+
+    held, n = [], 0
+    for f in batches:
+        if not len(f):
+            continue
+        held.append(f)
+        n += len(f)
+        if n >= rows:
+            f = pd.concat(held, ignore_index=True)
+            at = int((f[key] != f[key].iloc[-1]).to_numpy().sum())
+            if at:
+                yield f.iloc[:at].reset_index(drop=True)
+            held, n = [f.iloc[at:].reset_index(drop=True)], len(f) - at
+    if n:
+        yield pd.concat(held, ignore_index=True)
