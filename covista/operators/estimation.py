@@ -265,62 +265,6 @@ def baselines(rays: DataFrame, trim: float = 0.2) -> DataFrame:
     return _by_group(rays, ["image_i", "image_j"], ["feature"], "n long, direction array<double>", run)
 
 
-def averaged_translations(edges: pd.DataFrame, rounds: int = 20) -> pd.DataFrame:
-    """(image, x, y, z) of edges (i, j, dx, dy, dz: the direction from i to j): positions up to shift and scale, mean 0 and mean edge length 1.
-
-    A graph of images fits the driver: rounds of least squares over positions and edge lengths, bad edges weighing less.
-    """
-    ids = np.unique(edges[["i", "j"]].to_numpy())
-    i, j = (np.searchsorted(ids, edges[c]) for c in "ij")
-    d = edges[["dx", "dy", "dz"]].to_numpy(float)
-    d = d / np.linalg.norm(d, axis=1, keepdims=True)
-    w, length, x = np.ones(len(d)), np.ones(len(d)), np.zeros((len(ids), 3))
-    for _ in range(rounds):
-        lap = np.zeros((len(ids), len(ids)))
-        np.add.at(lap, (i, i), w)
-        np.add.at(lap, (j, j), w)
-        np.add.at(lap, (i, j), -w)
-        np.add.at(lap, (j, i), -w)
-        b = np.zeros((len(ids), 3))
-        np.add.at(b, j, (w * length)[:, None] * d)
-        np.add.at(b, i, -(w * length)[:, None] * d)
-        x = np.linalg.lstsq(lap, b, rcond=None)[0]
-        x -= x.mean(0)
-        e = x[j] - x[i]
-        length = np.maximum((e * d).sum(1), 0.05)
-        length /= length.mean()
-        off = np.linalg.norm(e - length[:, None] * d, axis=1)
-        w = 1 / np.maximum(off, 1e-3 + np.median(off))
-        w /= w.mean()
-    scale = np.linalg.norm(x[j] - x[i], axis=1).mean()
-    return pd.DataFrame({"image": ids, **dict(zip("xyz", (x / max(scale, 1e-12)).T, strict=True))})
-
-
-def factorized(observations: pd.DataFrame, rounds: int = 100) -> tuple[dict, dict, float]:
-    """(cameras, points, rms) of observations (image, cluster, x, y) under affine cameras: x = A X + b, by alternating least squares over what is seen."""
-    images, clusters = (np.unique(observations[c]) for c in ("image", "cluster"))
-    a, p = np.searchsorted(images, observations["image"]), np.searchsorted(clusters, observations["cluster"])
-    xy = observations[["x", "y"]].to_numpy(float)
-    x = np.random.default_rng(0).normal(size=(len(clusters), 3))
-    cams = np.zeros((len(images), 2, 4))
-    for _ in range(rounds):
-        for k in range(len(images)):
-            own = a == k
-            cams[k] = np.linalg.lstsq(np.c_[x[p[own]], np.ones(own.sum())], xy[own], rcond=None)[0].T
-        for k in range(len(clusters)):
-            own = p == k
-            m = cams[a[own]]
-            x[k] = np.linalg.lstsq(m[:, :, :3].reshape(-1, 3), (xy[own] - m[:, :, 3]).ravel(), rcond=None)[0]
-        x -= x.mean(0)
-        u, s, v = np.linalg.svd(x, full_matrices=False)
-        x = u * np.sqrt(len(x))
-    for k in range(len(images)):
-        own = a == k
-        cams[k] = np.linalg.lstsq(np.c_[x[p[own]], np.ones(own.sum())], xy[own], rcond=None)[0].T
-    left = np.einsum("nij,nj->ni", cams[a][:, :, :3], x[p]) + cams[a][:, :, 3] - xy
-    return dict(zip(images.tolist(), cams, strict=True)), dict(zip(clusters.tolist(), x, strict=True)), float(np.sqrt((left * left).sum(1).mean()))
-
-
 def depth_uncertainties(rays: DataFrame, points: DataFrame, key: str, sigma: str) -> DataFrame:
     """(key, depth, sigma, z): depth along the mean ray from the mean centre, its standard deviation, and how many of these the depth is away from infinity in inverse depth.
 
@@ -407,30 +351,3 @@ def modularity_groups(weights: np.ndarray) -> np.ndarray:
         alive.remove(j)
         group[group == j] = i
     return np.unique(group, return_inverse=True)[1]
-
-
-def thinned(shared: np.ndarray, tau: float) -> list[int]:
-    """The images that a sweep keeps, the most isolated first: one whose best shared count with those kept is in [tau / 8, tau), or the first.
-
-    Isolation is the sum of shared counts, ties by number; a dense matrix of images, on the driver.
-    """
-    s = np.asarray(shared, float)
-    kept: list[int] = []
-    for i in np.lexsort((np.arange(len(s)), s.sum(1))):
-        best = max((s[i, k] for k in kept), default=None)
-        if best is None or tau / 8 <= best < tau:
-            kept.append(int(i))
-    return sorted(kept)
-
-
-def thinned_to(shared: np.ndarray, target: int, steps: int = 25) -> list[int]:
-    """thinned() at the tau, found by bisection, that keeps about `target` images."""
-    low, high = 0.0, float(np.max(shared, initial=0)) + 1
-    best = thinned(shared, high)
-    for _ in range(steps):
-        tau = (low + high) / 2
-        kept = thinned(shared, tau)
-        if abs(len(kept) - target) < abs(len(best) - target):
-            best = kept
-        low, high = (tau, high) if len(kept) < target else (low, tau)
-    return best

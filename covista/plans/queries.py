@@ -373,4 +373,4 @@ def align_similarity(spark, sf_dir):
     return spark.createDataFrame([tuple(round(float(x), 6) + 0.0 for x in (scale, *rotation.ravel(), *move))], ", ".join(f"{c} double" for c in ("scale", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz")))
 
 
-from . import adjustment_queries, function_queries, index_queries, infinity_queries, matching_queries, motion_queries, report_queries, track_queries  # noqa: E402, F401  (they register their own)
+from . import adjustment_queries, function_queries, index_queries, infinity_queries, matching_queries, motion_queries, report_queries, selection_queries, track_queries  # noqa: E402, F401  (they register their own)

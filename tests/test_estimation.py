@@ -1,7 +1,6 @@
 """Planted geometry is found again, with outliers in it, and transforms keep what they must."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,23 +83,9 @@ def test_groups_in_spark(spark):
     assert np.allclose(e.baselines(rays).first()["direction"], want / np.linalg.norm(want), atol=1e-6)
 
 
-def test_graphs_of_images():
-    x = R.normal(size=(12, 3)) * 3
-    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)]
-    d = [x[j] - x[i] for i, j in pairs]
-    d = unit(np.array(d))
-    got = e.averaged_translations(pd.DataFrame({"i": [p[0] for p in pairs], "j": [p[1] for p in pairs], "dx": d[:, 0], "dy": d[:, 1], "dz": d[:, 2]}), 200)
-    k, rot, _ = e.similarity_of(got[["x", "y", "z"]].to_numpy(), x)
-    assert np.abs(k * got[["x", "y", "z"]].to_numpy() @ rot.T - (x - x.mean(0))).max() < 0.2
-    cams, pts = R.normal(size=(6, 2, 4)), R.normal(size=(20, 3))
-    rows = [(i, c, *(cams[i][:, :3] @ pts[c] + cams[i][:, 3])) for i in range(6) for c in range(20) if R.random() < 0.8]
-    assert e.factorized(pd.DataFrame(rows, columns=["image", "cluster", "x", "y"]))[2] < 0.05
+def test_groups_by_modularity():
     w = np.kron(np.eye(2), np.ones((4, 4))) + 0.01
     assert e.modularity_groups(w).tolist() == [0] * 4 + [1] * 4
-    shared = np.array([[0, 9, 2, 0], [9, 0, 8, 2], [2, 8, 0, 9], [0, 2, 9, 0]])
-    kept = e.thinned(shared, 8)
-    assert kept and all(max((shared[i, k] for k in kept if k != i), default=0) < 8 for i in kept)
-    assert len(e.thinned_to(shared, 2)) == 2
 
 
 def test_depths_and_normals(spark):
