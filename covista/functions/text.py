@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Metres of each unit of length.
 METRES = {"nm": 1e-9, "um": 1e-6, "mm": 1e-3, "cm": 1e-2, "m": 1.0, "km": 1e3, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mi": 1609.344}
@@ -218,8 +217,9 @@ def sliced(df: DataFrame, order: str, cut: Slice) -> DataFrame:
     """The rows at the positions that a slice keeps of df in the order of a column, with nth, their place in the slice."""
     n = df.count()
     start, stop, step = slice(cut.start, cut.stop, cut.step).indices(n)
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    x = df.withColumn("__at", at)
+    from covista.operators.tables import numbered
+
+    x = numbered(df, order, out="__at")
     inside = (F.col("__at") >= start) & (F.col("__at") < stop) if step > 0 else (F.col("__at") <= start) & (F.col("__at") > stop)
     return x.where(inside & (F.pmod(F.col("__at") - start, F.lit(abs(step))) == 0)).withColumn("nth", ((F.col("__at") - start) / step).cast("int")).drop("__at")
 

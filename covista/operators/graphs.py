@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import quantile
 from .tables import cut as _cut
 
 
@@ -41,7 +42,7 @@ def trimmed_median(rows: DataFrame, value: str, times: float = 2.0, passes: int
     rows, limit, last = rows.where(F.col(value).isNotNull()), None, None
     for _ in range(passes):
         part = rows if limit is None else rows.where(F.col(value) <= limit)
-        median = part.agg(F.expr(f"percentile(`{value}`, 0.5)")).first()[0]
+        median = quantile(part, value)
         if median is None or median == last:
             break
         last, limit = median, times * median if limit is None else min(limit, times * median)

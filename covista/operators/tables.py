@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, out: str = "number") -> DataFrame:
+    """df with out, each row's number from 0 in the order of these columns (nulls first, NaN last), however many rows.
+
+    Rows are sorted over all partitions by range; a row's number is its place in its partition and the rows of the
+    partitions before, of which there are as many counts as partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", (before - F.col("__first")).alias("__shift"))
+    return placed.join(F.broadcast(starts), part == F.col("__part")).withColumn(out, F.col("__place") + F.col("__shift")).drop("__place", "__part", "__shift")
+
+
 def whole_groups(batches, key: str, rows: int = 1 << 16):
     """Frames of about so many rows, or more, that hold all rows of the keys in them, from frames in the order of key.
 

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from covista.functions import geometry as g
 from covista.functions import text
 
-from . import filters, kernels, neighbors, tracks
+from . import aggregates, filters, kernels, neighbors, tracks
 from .tables import cut
 
 Tables = dict[str, DataFrame]
@@ -388,10 +388,10 @@ def compared_points(left: Tables, right: Tables, pairs: DataFrame, size: float)
 def scene_bounds(points: DataFrame) -> DataFrame:
     """(x, y, z, radius): the median of finite points by axis, and the largest distance from it; the origin and 1 for fewer than two points."""
     p = points.where("w <> 0")
-    m = p.agg(*[F.expr(f"percentile({a}, 0.5)").alias(f"m{a}") for a in _P], F.count("*").alias("n"))
-    far = p.join(F.broadcast(m)).agg(F.max(g.norm([F.col(a) - F.col(f"m{a}") for a in _P])).alias("radius"))
+    m = [aggregates.quantile(p, a) or 0.0 for a in _P]
     few = F.col("n") < 2
-    return m.join(far).select(*[F.when(few, 0.0).otherwise(F.col(f"m{a}")).alias(a) for a in _P], F.when(few, 1.0).otherwise(F.col("radius")).alias("radius"))
+    far = p.agg(F.count("*").alias("n"), F.max(g.norm([F.col(a) - v for a, v in zip(_P, m, strict=True)])).alias("radius"))
+    return far.select(*[F.when(few, 0.0).otherwise(F.lit(v)).alias(a) for a, v in zip(_P, m, strict=True)], F.when(few, 1.0).otherwise(F.col("radius")).alias("radius"))
 
 
 def camera_spacing(images: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covista.functions import formula
-from covista.operators import filters, graphs, joins, kernels, sequences
+from covista.operators import aggregates, filters, graphs, joins, kernels, sequences
 
 NAN, INF = float("nan"), float("inf")
 
@@ -96,3 +96,16 @@ def test_windows_cover_each_frame(spark):
     of = lambda s: sorted((r["window"], r["k"]) for r in got if r["s"] == s)
     assert of(2) == [(0, 0), (0, 1), (0, 2)] and of(3) == [(0, k) for k in range(6)]
     assert of(1) == [(0, k) for k in range(6)] + [(1, k) for k in range(4, 10)] + [(2, k) for k in range(8, 11)]
+
+
+@pytest.mark.parametrize("few", [5, 50_000])
+def test_quantiles_are_exact(spark, few, monkeypatch):
+    monkeypatch.setattr(aggregates, "FEW", few)
+    r = np.random.default_rng(6)
+    for x in (r.normal(size=400), np.repeat([1.0, 2.0, 3.0], 90), np.concatenate([r.normal(size=50), [1e12, -1e12]]), [7.0], [1.0, 1.0 + 2**-52] * 20, [-1.5e308, 1.0, 1.5e308] * 9):
+        rows = [(float(v),) for v in x] + [(None,), (NAN,)]
+        df = spark.createDataFrame(rows, "v double")
+        for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert aggregates.quantile(df, "v", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12, abs=1e-12)
+    assert aggregates.quantile(spark.createDataFrame([(INF,)] * 9 + [(-INF,)] * 9 + [(float(k),) for k in range(9)], "v double"), "v") == 4.0
+    assert aggregates.quantile(spark.createDataFrame([(None,)], "v double"), "v") is None
