@@ -176,10 +176,10 @@ def merge_dedup_best(spark, sf_dir):
     return aggregates.best_of(both, ["l_suppkey", "l_partkey"], "l_tax", ["l_orderkey"])
 
 
-@register("first_correspondence", "SELECT a.l_orderkey AS source, arg_min(b.l_orderkey, {'s': a.l_suppkey, 'p': a.l_partkey, 't': b.l_orderkey}) AS target FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'R' GROUP BY 1")
+@register("first_correspondence", "SELECT a.l_orderkey AS source, arg_min(b.l_orderkey, {'s': a.l_suppkey, 'p': a.l_partkey, 't': b.l_orderkey}) AS target FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey WHERE a.l_returnflag = 'A' AND b.l_returnflag <> 'A' GROUP BY 1")
 def first_correspondence(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_returnflag")
-    return joins.first_match(m.where("l_returnflag = 'A'"), m.where("l_returnflag = 'R'"), ["l_suppkey", "l_partkey"], "l_orderkey", "l_orderkey")
+    return joins.first_match(m.where("l_returnflag = 'A'"), m.where("l_returnflag <> 'A'"), ["l_suppkey", "l_partkey"], "l_orderkey", "l_orderkey")
 
 
 _SIDES = "l AS (SELECT p_partkey AS k, p_size || ':' || floor(p_retailprice)::BIGINT AS d, p_type AS n FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS k, p_size || ':' || floor(p_retailprice)::BIGINT AS d, p_type AS n FROM part WHERE p_partkey % 2 = 1), one AS (SELECT l.k AS \"left\", r.k AS \"right\" FROM l JOIN r USING (d) WHERE d IN (SELECT d FROM l GROUP BY d HAVING count(*) = 1) AND d IN (SELECT d FROM r GROUP BY d HAVING count(*) = 1))"
@@ -276,10 +276,10 @@ def knn_threshold(spark, sf_dir):
     return neighbors.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 1, 1.3).withColumn("distance", F.round("distance", 5))
 
 
-@register("mutual_best", f"WITH d AS (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", {_L2} AS distance FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label = 2) SELECT \"left\", \"right\", round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY \"left\" ORDER BY distance, \"right\") = 1 AND row_number() OVER (PARTITION BY \"right\" ORDER BY distance, \"left\") = 1")
+@register("mutual_best", f"WITH d AS (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", {_L2} AS distance FROM embeddings a JOIN embeddings b ON a.label % 2 = 0 AND b.label % 2 = 1) SELECT \"left\", \"right\", round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY \"left\" ORDER BY distance, \"right\") = 1 AND row_number() OVER (PARTITION BY \"right\" ORDER BY distance, \"left\") = 1")
 def mutual_best(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return neighbors.mutual_best(v.where("label = 1"), v.where("label = 2"), "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
+    return neighbors.mutual_best(v.where("label % 2 = 0"), v.where("label % 2 = 1"), "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
 
 
 @register("wilson_bound", "WITH c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS hits, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, round(greatest(0, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 8) AS low FROM c")
@@ -333,10 +333,16 @@ def windowed_events(spark, sf_dir):
     return windows.windowed(table(spark, sf_dir, "events", "ts", "event_type", "value")).withColumn("total", F.round("total", 4))
 
 
-@register("constraint_violations", "SELECT 'observation without point' AS rule, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 > 0)")
+@register("constraint_violations", """SELECT 'observation without point' AS rule, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 > 0)
+UNION ALL SELECT 'observation without image', count(*) FROM lineitem WHERE l_suppkey % 4 = 3
+UNION ALL SELECT 'point_index repeats', count(*) FROM orders WHERE o_orderkey % 10 > 0 AND o_orderkey % 7 = 0
+UNION ALL SELECT 'image_index repeats', count(*) FROM supplier WHERE s_suppkey % 4 <> 3 AND s_suppkey % 5 = 0""")
 def constraint_violations(spark, sf_dir):
+    """One fault of each rule is planted: points and images that are left out, and others that are there twice."""
     points = table(spark, sf_dir, "orders").where("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("point_index"))
-    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_index"))
+    images = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 3").select(F.col("s_suppkey").alias("image_index"))
+    points = points.unionByName(points.where("point_index % 7 = 0"))
+    images = images.unionByName(images.where("image_index % 5 = 0"))
     seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("point_index"), F.col("l_suppkey").alias("image_index"))
     return bundle.violations({"points": points, "images": images, "observations": seen})
 
