@@ -59,6 +59,7 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.encode_b = lambda texts: model.encode(texts, num_threads=1)
         self.a_len, self.b_len = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_spelt, self.b_spelt = (np.array([*v, None], object)[:-1] for v in (self.a_bytes, self.b_bytes))
         inner = any(self.INNER.search(x.decode("utf-8", "replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.chunk = None if inner else chunk
 
@@ -74,7 +75,7 @@ class Pair:
         if [plain.get(m) for m in made] != list(range(256, 256 + len(made))) or len(plain) != 256 + len(made) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
             return None
         codec = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in plain.values()}, special_tokens={})
-        return lambda texts: [codec.encode_ordinary(t) for t in texts]
+        return lambda texts: [codec.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
     @staticmethod
     def _file(path: str):
@@ -109,11 +110,11 @@ class Pair:
             at = end
         out, k = [], 0
         for x in cut:
-            own = both[k : k + len(x)]
+            own = [(p, np.asarray(a, np.int64), np.asarray(b, np.int64)) for p, a, b in both[k : k + len(x)]]
             k += len(x)
-            if not own or any(b"".join(map(self.a_bytes.__getitem__, a)) != (w := b" " + p.encode()) or b"".join(map(self.b_bytes.__getitem__, b)) != w for p, a, b in own):
+            if any(b"".join(self.a_spelt[a].tolist()) != (w := b" " + p.encode()) or b"".join(self.b_spelt[b].tolist()) != w for p, a, b in own):
                 own = []
-            out.append(tuple(np.concatenate([np.empty(0, np.int64), *(np.array(o[side], np.int64) for o in own)]) for side in (1, 2)))
+            out.append(tuple(np.concatenate([np.empty(0, np.int64), *(o[side] for o in own)]) for side in (1, 2)))
         return out
 
 
@@ -139,14 +140,27 @@ def alignment(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end), of, to
 
 
+def _endings(size: int = 1 << 17) -> dict[str, np.ndarray]:
+    """For each ending the decimal numbers below size with it; made once."""
+    if not _ENDINGS or len(_ENDINGS[","]) < size:
+        _ENDINGS.update({e: np.array([f"{i}{e}" for i in range(size)], object) for e in ",|;"})
+    return _ENDINGS
+
+
+_ENDINGS: dict[str, np.ndarray] = {}
+
+
 def group_line(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
     """The groups as text: ids of A by commas, |, ids of B by commas; groups by semicolons."""
-    parts = []
-    for ids, group in ((a, a_group), (b, b_group)):
-        comma = np.concatenate((group[1:] == group[:-1], [False])).tolist()
-        line = "".join([f"{i}," if c else f"{i};" for i, c in zip(ids.tolist(), comma, strict=True)])
-        parts.append(line[:-1].split(";"))
-    return ";".join(map("|".join, zip(*parts, strict=True)))
+    if not len(a):
+        return ""
+    ends, out = _endings(max(1 << 17, int(max(a.max(), b.max())) + 1)), np.empty(len(a) + len(b), object)
+    # each id's place among all: after the ids of its side, and after the other side's of the groups before (or up to its own)
+    for ids, group, other, side, last in ((a, a_group, b_group, "left", "|"), (b, b_group, a_group, "right", ";")):
+        words, final = ends[","][ids], np.concatenate((group[1:] != group[:-1], [True]))
+        words[final] = ends[last][ids[final]]
+        out[np.arange(len(ids)) + np.searchsorted(other, group, side=side)] = words
+    return "".join(out.tolist())[:-1]
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:

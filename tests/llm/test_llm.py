@@ -548,7 +548,7 @@ def test_long_texts_are_cut_where_both_tokenizers_cut():
     for x, y in zip(whole.encode([long, "", None, "a"]), cut.encode([long, "", None, "a"]), strict=True):
         assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
     quick, file = whole.encode_a([" " + long, " it's <|endoftext|>"]), align.Pair._file(files()[0])([" " + long, " it's <|endoftext|>"])
-    assert quick == file
+    assert [x.tolist() for x in quick] == file
 
 
 def merkle_rows(n, r):
