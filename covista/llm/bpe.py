@@ -152,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, bytes binary) from (doc_id, ids): the raw bytes of the ids, one after the other. Null ids count as none."""
+    """(doc_id, bytes binary) from (doc_id, ids): the raw bytes of the ids, one after the other. Null ids count as none; an empty table gives no rows."""
 
     def run(batches):
         c, schema = codec(path, pattern), pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])

@@ -115,7 +115,8 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """(doc_id, lang_pred, score) for each row of docs, from its whole text alone.
 
     A null text, or one without a letter, is `und` with a score of 0. Repeated rows get a row each; other columns are
-    left out. Without profiles all is `und`.
+    left out; an empty table gives no rows. Without profiles all is `und`. Texts are read whole, however long; of equally
+    near profiles the first language in order is taken.
     """
 
     def run(batches):

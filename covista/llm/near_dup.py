@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
 
     A class is a connected component of documents whose similarity is least or more; a document without any is its own
     class. Null and empty texts have the same (no) words, so they are one class. A row without an id has no class and
-    gets no row; rows that share an id count as one document. Other columns are left out.
+    gets no row; rows that share an id count as one document. Other columns are left out; an empty table gives no rows.
+    Texts are read whole, however long.
     """
     members, classes = near_links(docs, words, least, slots, bands, rows, id_col, text_col)
     ids = members.groupBy("doc_id").agg(F.min("node").alias("first_copy"))

@@ -22,7 +22,8 @@ def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, chars): the passages of each message, at level 0 its own words, at level 1 what it quotes, and so on.
 
     A passage is a maximal run of lines that are not blank and have one quote level; each of its lines is a passage too.
-    They are compared in lower case and with single blanks.
+    They are compared in lower case and with single blanks. A null text has none; rows that repeat a place and text count
+    once; other columns are left out; an empty table gives no rows.
     """
     # a message is told from others by its place and text, and its lines are counted within it, so nothing grows with a conversation
     lines = messages.select("conv_id", "turn", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("k", "line"))

@@ -167,7 +167,9 @@ def scan(text: str, hard: float = HARD, ranks: dict[str, float] = _RANK) -> list
 def find_secrets(docs: DataFrame, hard: float = HARD, words: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for each row, over its whole text.
 
-    words is the path, on every executor, of a ranked vocabulary (ranked_words). A null or empty text has no spans. Repeated rows get a row each; other columns are left out.
+    words is the path, on every executor, of a ranked vocabulary (ranked_words). A null or empty text has no spans.
+    Repeated rows get a row each; other columns are left out; an empty table gives no rows. Texts are read whole, however
+    long. Spans stand by their start, at one place in the order of KINDS.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
