@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import scratch_table, texts, to_batch
 
@@ -107,7 +108,10 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, size: int = PROFILE, id
                 yield to_batch({"lang": [lang] * len(codes), "code": codes, "n": counts}, schema)
 
     counts = some.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = scratch_table(counts).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, size).alias("top"))
+    # ranks are cut off where the counts lie before they are brought together, so no task gets all codes of a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    first = scratch_table(counts).withColumn("nth", nth).where(F.col("nth") <= size)
+    top = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("top"))
     return Profiles({r["lang"]: r["codes"] for r in top.select("lang", F.col("top.code").alias("codes")).collect()}, size)
 
 
