@@ -129,7 +129,9 @@ def worst_consistency(spark, sf_dir):
 
 @register("displacement_partners", "WITH m AS (SELECT l_orderkey AS c, l_suppkey AS i, arg_min(l_quantity, l_linenumber) AS x, arg_min(l_extendedprice, l_linenumber) AS y FROM lineitem GROUP BY ALL), p AS (SELECT a.i, b.i AS j, count(*) AS shared, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM m a JOIN m b ON a.c = b.c AND a.i <> b.i GROUP BY ALL) SELECT i AS image, j AS partner, round(d, 4) AS displacement, row_number() OVER (PARTITION BY i ORDER BY d, j)::INTEGER AS rank FROM p WHERE shared >= 2 QUALIFY rank <= 3")
 def displacement_partners(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), F.col("l_linenumber").alias("ordinal"), F.col("l_suppkey").alias("image"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    # a line number may be there twice: the first row of the table counts then
+    first = F.struct("l_linenumber", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), first.alias("ordinal"), F.col("l_suppkey").alias("image"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     return tracks.partners_by_displacement(tracks.displacements(m), 3, 2).withColumn("displacement", F.round("displacement", 4))
 
 

@@ -109,3 +109,20 @@ def test_quantiles_are_exact(spark, few, monkeypatch):
             assert aggregates.quantile(df, "v", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12, abs=1e-12)
     assert aggregates.quantile(spark.createDataFrame([(INF,)] * 9 + [(-INF,)] * 9 + [(float(k),) for k in range(9)], "v double"), "v") == 4.0
     assert aggregates.quantile(spark.createDataFrame([(None,)], "v double"), "v") is None
+
+
+def test_of_equal_line_numbers_the_first_row_counts(spark, tmp_path):
+    """Rows with one line number are taken in the order of the table, whatever order a shuffle brings them in."""
+    from covista.plans import track_queries
+
+    rows = [(o, s, 1, q, 0.0) for o in range(40) for s, qs in ((1, (9.0, 1.0)), (2, (0.0, 5.0))) for q in qs]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    many = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        df = track_queries.displacement_partners(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", many)
+    assert got == [(1, 2, 9.0, 1), (2, 1, 9.0, 1)]
+    assert "row_index" in df._jdf.queryExecution().optimizedPlan().toString()
