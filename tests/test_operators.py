@@ -126,3 +126,21 @@ def test_of_equal_line_numbers_the_first_row_counts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", many)
     assert got == [(1, 2, 9.0, 1), (2, 1, 9.0, 1)]
     assert "row_index" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_of_one_place_are_met_once(spark):
+    """3,000 points on 30 places: the nearest are the least keys of the own place, then of the next, and no pair of all points is made."""
+    from covista.operators import neighbors
+
+    p = spark.range(3000).select("id", (F.col("id") % 30 * 7).cast("double").alias("x"), F.lit(0.0).alias("y")).withColumnRenamed("id", "key")
+    got = {r["query"]: [] for r in p.select(F.col("key").alias("query")).collect()}
+    near = neighbors.nearest_within_radius(p, p, "key", ["x", "y"], 2, 25.0)
+    for r in near.collect():
+        got[r["query"]].append((r["rank"], r["key"], r["distance"]))
+    for q, found in got.items():
+        own = [k for k in range(q % 30, 3000, 30) if k != q][:2]
+        assert sorted(found) == [(1, own[0], 0.0), (2, own[1], 0.0)]
+    assert {r["distance"] for r in neighbors.nearest_distances(p, "key", ["x", "y"], 100).collect()} == {7.0}  # 99 others are on the own place
+    places = neighbors._places(p, "key", ["x", "y"], [])
+    assert places.count() == 30
+    assert neighbors.within_radius(p, p, "key", ["x", "y"], 6.0).count() == 30 * 100 * 99
