@@ -41,6 +41,16 @@ class Tracks:
         self.views = np.bincount(self.of, minlength=self.total)
         self.anchor = self.sum(self.c) / np.maximum(self.views, 1)[:, None]
 
+    def only(self, which: np.ndarray) -> Tracks:
+        """The tracks that which (a boolean for each) picks, numbered anew."""
+        if which.all():
+            return self
+        t, kept = object.__new__(Tracks), which[self.of]
+        t.total, t.of = int(which.sum()), (np.cumsum(which) - 1)[self.of[kept]]
+        t.c, t.s, t.d = self.c[kept], self.s[kept], self.d[kept]
+        t.views, t.anchor = self.views[which], self.anchor[which]
+        return t
+
     def sum(self, x: np.ndarray) -> np.ndarray:
         """x, a row for each ray, summed by track."""
         out = np.zeros((self.total, *x.shape[1:]))
@@ -116,27 +126,35 @@ class Tracks:
         """(u, rho, cost) after damped Gauss-Newton steps of all tracks; a step is kept if it lowers the cost, and doesn't leave the front of the cameras once there."""
         u, rho, cost = u.copy(), rho.copy(), self.cost(u, rho, soft)
         damp, front = np.full(self.total, 1e-4), self.in_front(u, rho)
+        live = np.ones(self.total, bool)  # a track that has settled takes no part in later steps
         for _ in range(steps):
-            g, h, t = self.normal_equations(u, rho, soft)
+            k = np.flatnonzero(live)
+            if not len(k):
+                break
+            tracks = self.only(live)
+            g, h, t = tracks.normal_equations(u[k], rho[k], soft)
             if bearing_only:
                 g[:, 2], h[:, 2, :], h[:, :, 2] = 0, 0, 0
-            settled = np.ones(self.total, bool)
+            settled, open_ = np.ones(len(k), bool), np.ones(len(k), bool)
             for _ in range(8):
-                a = h + damp[:, None, None] * np.eye(3) * np.maximum(np.einsum("nii->ni", h), 1e-12)[:, None, :]
-                step = -np.einsum("nij,nj->ni", _pinv(a), g)
-                v = u + np.einsum("nij,nj->ni", t, step[:, :2])
+                i = np.flatnonzero(open_)
+                part, at = tracks.only(open_), k[i]
+                a = h[i] + damp[at, None, None] * np.eye(3) * np.maximum(np.einsum("nii->ni", h[i]), 1e-12)[:, None, :]
+                step = -np.einsum("nij,nj->ni", _pinv(a), g[i])
+                v = u[at] + np.einsum("nij,nj->ni", t[i], step[:, :2])
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                far = np.maximum(rho + step[:, 2], 0)
-                now = self.cost(v, far, soft)
-                better = (now < cost) & (~front | self.in_front(v, far))
-                settled &= ~(better & (cost - now > SETTLED * cost + SETTLED))
-                u, rho = np.where(better[:, None], v, u), np.where(better, far, rho)
-                cost, damp = np.where(better, now, cost), np.where(better, np.maximum(damp / 10, 1e-12), damp * 10)
-                front |= better & self.in_front(u, rho)
-                if better.all() or (damp > 1e12).all():
+                far = np.maximum(rho[at] + step[:, 2], 0)
+                now, ahead = part.cost(v, far, soft), part.in_front(v, far)
+                better = (now < cost[at]) & (~front[at] | ahead)
+                settled[i] = ~(better & (cost[at] - now > SETTLED * cost[at] + SETTLED))
+                won = at[better]
+                u[won], rho[won], cost[won] = v[better], far[better], now[better]
+                damp[at] = np.where(better, np.maximum(damp[at] / 10, 1e-12), damp[at] * 10)
+                front[won] |= ahead[better]
+                open_[i] = ~better & (damp[at] <= 1e12)
+                if not open_.any():
                     break
-            if settled.all():
-                break
+            live[k[settled]] = False
         return u, rho, cost
 
 
@@ -272,10 +290,14 @@ def classified(points: DataFrame, rays: DataFrame, least_depth: float, threshold
             off = p[t.of] - t.c
             return np.isfinite(p).all(axis=1) & t.every(((t.d * off).sum(1) > 0) & (np.linalg.norm(off, axis=1) >= least_depth))
 
-        fit = fitted(t, np.where(far[:, None], np.nan, held))
-        at = np.stack([fit["px"], fit["py"], fit["pz"]], axis=1)
-        fits_ = usable(at) & (fit["ratio"] >= threshold) & fit["point_in_front"]
         good = usable(held) & ~far
+        asked = finite & ~good  # of no other track is the fitted point looked at
+        at, fits_ = np.full(held.shape, np.nan), np.zeros(t.total, bool)
+        if asked.any():
+            fit = fitted(t.only(asked), np.where(far[:, None], np.nan, held)[asked])
+            at[asked] = np.stack([fit["px"], fit["py"], fit["pz"]], axis=1)
+            fits_[asked] = (fit["ratio"] >= threshold) & fit["point_in_front"]
+        fits_ &= usable(at)
         verdict = np.where(far, np.where(~finite, "kept", np.where(fits_, "promoted", "no_usable_point")), np.where(finite & good, "kept", np.where(finite & fits_, "refitted", np.where(s["in_front"], "demoted", np.where(finite, "left_unusable", "bearing_behind_camera")))))
         placed, turned = np.isin(verdict, ["promoted", "refitted"]), verdict == "demoted"
         bearing = np.stack([s["bx"], s["by"], s["bz"]], axis=1)

@@ -174,3 +174,16 @@ def test_empty_and_odd_tables(spark):
     assert bearings.scores(none, "track").collect() == [] and bearings.fits(none, "track").collect() == []
     df = spark.createDataFrame([(1, 0, float("nan"), 0.0, 0.0, [1]), (2, None, 1.0, 0.0, 0.0, [1])], "feature_id long, image long, dx double, dy double, dz double, descriptor array<int>")
     assert infinity.candidate_tracks(df, 1.0, 250.0, 0.8, 2).collect() == []
+
+
+def test_a_fit_does_not_depend_on_other_tracks():
+    """A settled track takes no part in later steps, so what a track gets is the same whichever tracks its task holds."""
+    r = np.random.default_rng(3)
+    track = np.repeat(np.arange(200), 4)
+    c = r.normal(size=(800, 3)) * 0.5
+    p = np.c_[r.uniform(-1, 1, (200, 2)), r.uniform(4, 8, 200)]
+    d = p[track] - c + r.normal(size=(800, 3)) * 1e-3
+    t = bearings.Tracks(track, np.c_[c, d, np.full(800, 1e-3)])
+    whole = bearings.fitted(t)
+    half = bearings.fitted(t.only(np.arange(200) % 2 == 0))
+    assert all(np.array_equal(whole[k][::2], half[k], equal_nan=True) for k in whole)
