@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .tables import cut
+from .tables import cut, numbered
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -19,40 +20,73 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "shared"))
 
 
+def _reach(edges: DataFrame) -> DataFrame:
+    """(i, j, shared, k, w): of each pair i < j its own two images, and those joined to both, with w the lesser of their counts; edges are (i, j, shared), i < j."""
+    e = edges.select("i", "j", "shared")
+    wedges = e.join(e.select("i", F.col("j").alias("k"), F.col("shared").alias("ik")), "i").where("j < k")
+    t = cut(wedges.join(e.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("shared").alias("jk")), ["j", "k"]))
+    w = lambda i, j, shared, k, x, y: t.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(shared).alias("shared"), F.col(k).alias("k"), F.least(x, y).alias("w"))
+    own = e.select("i", "j", "shared", F.explode(F.array("i", "j")).alias("k"), F.lit(None).cast(dict(e.dtypes)["shared"]).alias("w"))
+    return own.unionByName(w("i", "j", "shared", "k", "ik", "jk")).unionByName(w("i", "k", "ik", "j", "shared", "jk")).unionByName(w("j", "k", "jk", "i", "shared", "ik"))
+
+
+def _grown(rows: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """(i, j, shared, k): the images k of the group that each pair of rows (i, j, shared, k, w) would found among these; edges go both ways."""
+    x = rows.withColumn("in", F.col("w").isNull())
+    pair = Window.partitionBy("i", "j")
+    for step in range(size - 2):
+        best = F.max(F.when(~F.col("in"), F.struct(F.col("w"), (-F.col("k")).alias("least")))).over(pair)
+        x = x.withColumn("next", -best["least"]).join(edges.select(F.col("i").alias("k"), F.col("j").alias("next"), F.col("shared").alias("own")), ["k", "next"], "left")
+        x = x.withColumn("in", F.col("in") | F.coalesce(F.col("k") == F.col("next"), F.lit(False))).where(F.col("in") | F.col("own").isNotNull())
+        x = x.select("i", "j", "shared", "k", F.least("w", "own").alias("w"), "in")
+        x = cut(x) if step % 4 == 3 and step < size - 3 else x
+    return x.where("in").select("i", "j", "shared", "k")
+
+
+def _seeded(pairs: DataFrame, size: int, least: int) -> DataFrame:
+    """(i, j, shared, k): the images k of the group that the pair i < j founded, of all groups.
+
+    What a pair's group may take are its images and those joined to both. In a round the group of a pair is settled if no
+    earlier pair may take one of the images that it would take now: what else goes can't change its choices. Many groups
+    are settled at a time, in as many rounds as the longest chain of pairs that wait for each other.
+    """
+    both = cut(both_ways(pairs).where(F.col("shared") >= least))
+    rows, groups = cut(_reach(both.where("i < j"))), None
+    turn = F.struct((-F.col("shared")).alias("a"), F.col("i").alias("b"), F.col("j").alias("c"))
+    while True:
+        first = cut(rows.groupBy("k").agg(F.min(turn).alias("first")))  # of each image the earliest pair that may take it
+        found = first.groupBy("first").agg(F.count(F.when((F.col("k") == F.col("first.b")) | (F.col("k") == F.col("first.c")), 1)).alias("own")).where("own = 2")
+        found = cut(found.select(F.col("first.b").alias("i"), F.col("first.c").alias("j")))
+        if found.isEmpty():
+            return groups if groups is not None else rows.select("i", "j", "shared", "k")
+        now = cut(_grown(rows.join(found, ["i", "j"]), both, size))
+        late = now.join(first, "k").where(F.col("first") != turn).select("i", "j").distinct()
+        done = cut(now.join(late, ["i", "j"], "left_anti"))
+        groups = done if groups is None else groups.unionByName(done)
+        gone = F.broadcast(done.select("k"))  # up to as many as there are images
+        for c in "kij":
+            rows = rows.join(gone.toDF(c), c, "left_anti")
+        rows = cut(rows.select("i", "j", "shared", "k", "w"))
+
+
 def seed_groups(pairs: DataFrame, size: int, least: int) -> Iterator[tuple[list[int], int, tuple[int, int]]]:
     """(images, shared, (i, j)) of one group after the other: its images, ascending, and the pair that founded it with its count.
 
     A group begins with the pair that shares most of those left (ties to the least i, then j), and takes the image whose
     least count with all of the group is largest (ties to the least), as long as that is `least` or more, until it has
-    `size`. Its images are out of the running then; it ends when no pair shares `least`. Each step is a pass over the
-    pairs; the driver holds a group's numbers, and the images that are out go back as a table.
+    `size`. Its images are out of the running then; it ends when no pair shares `least`.
     """
-    spark = pairs.sparkSession
-    edges = cut(both_ways(pairs).where(F.col("shared") >= least))
-    while True:
-        first = edges.where("i < j").orderBy(F.desc("shared"), "i", "j").first()
-        if first is None:
-            return
-        group = [first["i"], first["j"]]
-        while len(group) < size:
-            near = edges.where(F.col("j").isin(group) & ~F.col("i").isin(group)).groupBy("i").agg(F.count("*").alias("n"), F.min("shared").alias("shared"))
-            best = near.where(F.col("n") == len(group)).orderBy(F.desc("shared"), "i").first()
-            if best is None:
-                break
-            group.append(best["i"])
-        yield sorted(group), first["shared"], (first["i"], first["j"])
-        out = F.broadcast(spark.createDataFrame([(int(g),) for g in group], "i long"))  # as many as a group has
-        edges = cut(edges.join(out, "i", "left_anti").join(out.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "shared"))
+    g = _seeded(pairs, size, least).groupBy("i", "j", "shared").agg(F.sort_array(F.collect_set("k")).alias("k"))
+    for r in g.orderBy(F.desc("shared"), "i", "j").toLocalIterator():
+        yield list(r["k"]), r["shared"], (r["i"], r["j"])
 
 
 def seed_image_groups(pairs: DataFrame, size: int, least: int, most: int | None = None) -> DataFrame:
     """(group, image, founder): the first `most` of seed_groups(), or all, numbered from 0; founder tells the pair that each began with."""
-    rows = []
-    for k, (images, _, pair) in enumerate(seed_groups(pairs, size, least)):
-        if most is not None and k >= most:
-            break
-        rows += [(k, int(i), i in pair) for i in images]
-    return pairs.sparkSession.createDataFrame(rows, "group long, image long, founder boolean")
+    g = cut(_seeded(pairs, size, least))
+    order = numbered(g.select((-F.col("shared")).alias("a"), "i", "j").distinct(), "a", "i", "j", out="group")
+    out = g.join(order.where("true" if most is None else f"group < {int(most)}"), ["i", "j"])
+    return out.select("group", F.col("k").cast("long").alias("image"), F.col("k").isin(F.col("i"), F.col("j")).alias("founder")).orderBy("group", "image")
 
 
 def _order(images: DataFrame) -> DataFrame:
