@@ -14,20 +14,20 @@ def connected_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     In each round an id takes the least label of its neighbours, passes it on to the id that its own label names, and all
     labels are replaced by their label's label, so that labels cross a component in about as many rounds as its width has
-    digits to base 2; it ends when no label changes.
+    digits to base 2; it ends when no label changes. Labels grow with the ids, so no join sends them through the driver.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = _cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = _cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("root")))
     while True:
-        seen = both.join(labels.toDF("y", "label"), "y").groupBy("x").agg(F.min("label").alias("label"))
-        now = _cut(labels.join(seen, labels["id"] == seen["x"]).select("id", "root", F.least("root", "label").alias("least")))
+        seen = both.join(labels.toDF("y", "label").hint("merge"), "y").groupBy("x").agg(F.min("label").alias("label"))
+        now = _cut(labels.join(seen.hint("merge"), labels["id"] == seen["x"]).select("id", "root", F.least("root", "label").alias("least")))
         passed = now.groupBy(F.col("root").alias("id")).agg(F.min("least").alias("hook"))
-        now = _cut(now.join(passed, "id", "left").select("id", "root", F.least("least", "hook").alias("least")))
+        now = _cut(now.join(passed.hint("merge"), "id", "left").select("id", "root", F.least("least", "hook").alias("least")))
         if now.where("root <> least").isEmpty():
             return now.select("id", "root")
         jump = now.select(F.col("id").alias("least"), F.col("least").alias("next"))
-        labels = _cut(now.join(jump, "least").select("id", F.col("next").alias("root")))
+        labels = _cut(now.join(jump.hint("merge"), "least").select("id", F.col("next").alias("root")))
 
 
 def group_max_distance(points: DataFrame, group: str, *axes: str) -> DataFrame:
