@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import spread
+
 
 def covisibility(observations: DataFrame, entity: str, context: str) -> DataFrame:
-    """(i, j, shared), i < j: how many entities both contexts observe. Repeats within a context count once."""
-    seen = observations.select(F.col(entity).alias("e"), F.col(context).alias("i")).distinct()
-    pairs = seen.join(seen.toDF("e", "j"), "e").where("i < j")
-    return pairs.groupBy("i", "j").agg(F.count("*").alias("shared"))
+    """(i, j, shared), i < j: how many entities both contexts observe. Repeats within a context count once.
+
+    Observations are shuffled once by entity, and their pairs once, into as many partitions as there are observations for,
+    so that a task's tables don't grow with the input.
+    """
+    n = spread(observations)
+    seen = observations.select(F.col(entity).alias("e"), F.col(context).alias("i")).repartition(n, "e").distinct()
+    pairs = seen.join(seen.toDF("e", "j").hint("merge"), "e").where("i < j").select("i", "j")
+    return pairs.repartition(n, "i", "j").groupBy("i", "j").agg(F.count("*").alias("shared"))
 
 
 def ranked_partners(pairs: DataFrame, context) -> DataFrame:
