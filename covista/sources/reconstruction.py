@@ -8,8 +8,8 @@ are asked for, and no others; entries are decompressed as streams, a batch of ro
 from __future__ import annotations
 
 import contextlib
-import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator, Mapping
 
@@ -51,12 +51,17 @@ _SCALARS = {"int8": "short", "int16": "short", "uint8": "short", "uint16": "int"
 _ARROW = {"short": pa.int16(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary()}
 
 
+def store(path: str):
+    """Arrow's file system for a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+
+
 @contextlib.contextmanager
 def opened(path: str) -> Iterator[zipfile.ZipFile]:
     """The archive at a path or URI of a store that Arrow reads; only what is asked for is fetched."""
-    from pyarrow import fs
-
-    where, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+    where, at = store(path)
     with where.open_input_file(at) as f, zipfile.ZipFile(f) as z:
         yield z
 
@@ -324,35 +329,14 @@ def _chunks(df: DataFrame, columns: Mapping[str, tuple[Column, str]], order: lis
     return cut(dealt.select(F.spark_partition_id().cast("long").alias("_part"), *[c.alias(n) for n, (c, _) in columns.items()]).mapInArrow(run, "entry string, part long, nth long, rows long, data binary"))
 
 
-class _Out(io.RawIOBase):
-    """A file of Hadoop's file systems, to write on."""
-
-    def __init__(self, stream):
-        super().__init__()
-        self.stream, self.at = stream, 0
-
-    def writable(self):
-        return True
-
-    def write(self, b):
-        self.stream.write(bytes(b))
-        self.at += len(b)
-        return len(b)
-
-    def tell(self):
-        return self.at
-
-    def flush(self):
-        pass
-
-
 def save(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, metadata: Mapping | None = None, level: int = 3) -> str:
     """Write an archive of the tables images, points, observations and cameras, and of the arrays that they have besides; returns its digest.
 
     Rows are numbered anew by the order of their numbers: points and images without gaps, observations by point, image and
     feature. A point without observations, or an observation of what isn't there, is an error, and nothing is written.
-    Spark sorts the tables and cuts their columns into chunks of bytes; the driver holds one chunk at a time, compresses
-    it, folds it into the section's digest and writes it on. The file gets its name when it is whole.
+    Spark sorts the tables and cuts their columns into chunks of bytes. A file and a section's digest are made from one end
+    to the other, so one task reads the chunks in order, holds a few at a time, compresses them, folds them into the
+    digest and writes them on; the driver gets the digest alone. The file gets its name when it is whole.
     """
     from covista.operators import filters
 
@@ -392,7 +376,7 @@ def save(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, metada
         chunks = _chunks(df, columns, order)
         for n, (_, kind) in columns.items():
             tail = tails.get(n.rsplit("/", 1)[1])
-            made[f"{n}.{sizes[table]}{f'.{tail}' if tail else ''}.{kind}.zst"] = chunks.where(F.col("entry") == n).orderBy("part", "nth").select("data")
+            made[f"{n}.{sizes[table]}{f'.{tail}' if tail else ''}.{kind}.zst"] = chunks.where(F.col("entry") == n).select("part", "nth", "data")
     names = [r[0] for r in images.orderBy("new_index").select("name").toLocalIterator()]
     far = points.where("w = 0").count()
     documents = {
@@ -410,37 +394,77 @@ def save(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, metada
 
 
 def _assembled(spark: SparkSession, path: str, plain: dict[str, bytes], made: dict[str, DataFrame], level: int) -> str:
-    import xxhash
-    import zstandard
+    """The archive of the entries plain, and of made, whose rows (part, nth, data) are chunks; its digest."""
+    entries = [(s, n) for s in (*SECTIONS, "derived") for n in sorted({**plain, **made}) if n.startswith(f"{s}/") or n == f"{s}.json.zst"]
+    kinds = "place int, part long, nth long, data binary"
+    # a row before the others, so that there is a task even if no table has a row
+    chunks = spark.range(1).select(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("nth"), F.lit(b"").alias("data"))
+    for k, (_, n) in enumerate(entries):
+        if n in made:
+            chunks = chunks.unionByName(made[n].select(F.lit(k).alias("place"), "part", "nth", "data"))
+
+    def run(batches):
+        rows = ((k, d) for b in batches for k, d in zip(b.column("place").to_pylist(), b.column("data").to_pylist(), strict=True) if k >= 0)
+        name, digest = _written(path, entries, plain, rows, level)
+        yield pa.RecordBatch.from_pydict({"name": [name], "digest": [digest]})
 
+    ordered = chunks.select(*[c.split()[0] for c in kinds.split(", ")]).repartition(1).sortWithinPartitions("place", "part", "nth")
+    done = cut(ordered.mapInArrow(run, "name string, digest string"), batch=16).first()
     jvm = spark.sparkContext._jvm
-    end, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".part"))
+    end, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, done["name"]))
     fs = end.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out, done = fs.create(part, True), False
+    fs.delete(end, False)
+    if not fs.rename(part, end):
+        raise OSError(f"can't write {path}")
+    return done["digest"]
+
+
+def _written(path: str, entries: list[tuple[str, str]], plain: dict[str, bytes], rows: Iterator[tuple[int, bytes]], level: int) -> tuple[str, str]:
+    """(name, digest) of an archive of entries (section, name), under a name of this attempt's own: plain ones, and those whose (place, chunk) come in rows, by place."""
+    import xxhash
+    import zstandard
+
+    name = f"{path}.part-{uuid.uuid4().hex}"
+    where, at = store(name)
+    done, row = False, next(rows, None)
     try:
         digests = {}
-        with zipfile.ZipFile(_Out(out), "w", zipfile.ZIP_STORED) as z:
-            for section in (*SECTIONS, "derived"):
-                h, own = xxhash.xxh3_128(), sorted(n for n in {**plain, **made} if n.startswith(f"{section}/") or n == f"{section}.json.zst")
-                for n in own:
-                    with z.open(zipfile.ZipInfo(n), "w", force_zip64=True) as f, zstandard.ZstdCompressor(level=level).stream_writer(f, closefd=False) as c:
-                        for data in [plain[n]] if n in plain else (r[0] for r in made[n].toLocalIterator()):
-                            h.update(data)
-                            c.write(bytes(data))
-                if own:
-                    digests[section] = h.digest()
-            whole = xxhash.xxh3_128(b"".join(digests[s] for s in SECTIONS if s in digests)).hexdigest()
-            hashes = {f"{s}_xxh128": d.hex() for s, d in digests.items()} | {"content_xxh128": whole}
+        with where.open_output_stream(at, compression=None, buffer_size=BATCH) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for k, (section, n) in enumerate(entries):
+                h = digests.setdefault(section, xxhash.xxh3_128())
+                with z.open(zipfile.ZipInfo(n), "w", force_zip64=True) as f, zstandard.ZstdCompressor(level=level).stream_writer(f, closefd=False) as c:
+                    if n in plain:
+                        h.update(plain[n])
+                        c.write(plain[n])
+                    while row is not None and row[0] == k:
+                        h.update(row[1])
+                        c.write(row[1])
+                        row = next(rows, None)
+            whole = xxhash.xxh3_128(b"".join(digests[s].digest() for s in SECTIONS if s in digests)).hexdigest()
+            hashes = {f"{s}_xxh128": d.hexdigest() for s, d in digests.items()} | {"content_xxh128": whole}
             z.writestr(archives.HASHES, zstandard.ZstdCompressor().compress(json.dumps(hashes, separators=(",", ":")).encode()))
         done = True
     finally:
-        out.close()
         if not done:
-            fs.delete(part, False)
-    fs.delete(end, False)
-    if not fs.rename(part, end):
-        raise OSError(f"can't write {path}")
-    return whole
+            with contextlib.suppress(OSError):
+                where.delete_file(at)
+    return name, whole
+
+
+def copied_part(spark: SparkSession, path: str, to: str, share: float) -> None:
+    """Copy the first share of a file's bytes, by a task, a block at a time."""
+
+    def run(batches):
+        for b in batches:
+            (a, x), (c, y) = store(path), store(to)
+            with a.open_input_stream(x, compression=None) as i, c.open_output_stream(y, compression=None) as o:
+                left = int(a.get_file_info(x).size * share)
+                while left and (part := i.read(min(left, BATCH))):
+                    o.write(part)
+                    left -= len(part)
+            yield b
+
+    spark.range(1).repartition(1).mapInArrow(run, "id long").collect()
 
 
 # Verification.

@@ -186,3 +186,37 @@ def test_normals_that_follow_from_patch_frames(spark, archive, tmp_path):
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-30)
     want[bare] = stored
     assert all(got[k] is None if w[k] == 0 and k in (3, 8, 14) else np.allclose(got[k], want[k], atol=1e-5) for k in range(40))
+
+
+def sent_to_driver(spark):
+    """Bytes of all tasks' results so far."""
+    sc = spark.sparkContext
+    jvm = sc._gateway.jvm
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).resultSize() for k in range(stages.size())}
+
+
+def many(spark, points=3000, images=200):
+    zero, one = F.lit(0.0), F.lit(1.0)
+    seen = spark.range(points).withColumnRenamed("id", "point").crossJoin(spark.range(images).withColumnRenamed("id", "image"))
+    return {
+        "points": spark.range(points).select(F.col("id").alias("point"), *[one.alias(c) for c in ("x", "y", "z", "w", "error")]),
+        "images": spark.range(images).select(F.col("id").alias("image"), F.format_string("%05d.jpg", "id").alias("name"), F.lit(0).alias("camera"), *[one.alias(c) for c in ("qw", "tx", "ty", "tz")], *[zero.alias(c) for c in ("qx", "qy", "qz")]),
+        "observations": seen.withColumns({"feature": F.xxhash64("point", "image").bitwiseAND(F.lit((1 << 31) - 1)), "u": F.rand(1), "v": F.rand(2)}),
+        "cameras": spark.createDataFrame([(0, "PINHOLE", 1, 1, {"fx": 1.0, "fy": 1.0, "cx": 0.0, "cy": 0.0})], "camera long, model string, width int, height int, params map<string,double>"),
+    }
+
+
+def test_rows_are_not_written_through_the_driver(spark, tmp_path):
+    t, before = many(spark), set(sent_to_driver(spark))
+    path = str(tmp_path / "many.zip")
+    rec.save(spark, t, path)
+    sent = sum(n for k, n in sent_to_driver(spark).items() if k not in before)
+    assert 0 < sent < 2 << 20 and rec.document(path, "metadata")["observation_count"] == 600_000
+    assert rec.verify(spark, path).count() == 0 and [p.name for p in tmp_path.glob("many*")] == ["many.zip"]
+
+
+def test_an_archive_without_rows(spark, tmp_path):
+    t, path = tables(spark), str(tmp_path / "none.zip")
+    rec.save(spark, {k: d if k == "cameras" else d.where("false") for k, d in t.items()}, path)
+    assert rec.load(spark, path)["points"].count() == 0 and rec.document(path, "images/names") == []
