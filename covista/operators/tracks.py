@@ -15,19 +15,21 @@ from .tables import cut
 #: How many pair radii apart neighbours may be, the images they must share, the share of hits, the range tolerance.
 NEAREST, FARTHEST, SHARED, MAJORITY, TOLERANCE = 1.0, 10.0, 2, 0.5, 0.05
 _EPS_RADIUS, _EPS_RANGE = 1e-6, 1e-12
+#: Cells are so many reaches wide: an asking row is shuffled once for each cell that it touches, a quarter more than one a side on average.
+WIDE = 4
 
 
 def adjacency_candidates(observations: DataFrame, nearest: float = NEAREST, farthest: float = FARTHEST) -> DataFrame:
     """(p, q), p < q, distinct: points that are within nearest to farthest pair radii of each other in some image.
 
     observations has (point, image, x, y, radius); the pair radius is the smaller one. A cell is as wide as the reach of
-    the radii of its level (radii between two powers of 2), and each point asks, in every level, the cells next to its own
+    the radii of its level (radii between two powers of 4) times WIDE, and each point asks, in every level, the cells next to its own
     that its reach touches, so that a few large radii don't widen the cells of the small ones.
     """
     o = observations.where("x is not null and y is not null and radius > 0 and not isnan(x) and not isnan(y) and radius < double('inf')")
-    o = o.withColumn("level", F.ceil(F.log2(F.col("radius"))).cast("int"))
+    o = o.withColumn("level", F.ceil(F.log2(F.col("radius")) / 2).cast("int"))
     levels = o.select("level").distinct()
-    width = farthest * F.pow(F.lit(2.0), F.col("level"))
+    width = WIDE * farthest * F.pow(F.lit(4.0), F.col("level"))
     # the pair's radius is the smaller one: a row asks, in each level from its own upward, the rows that are no finer than it
     asks = o.withColumnRenamed("level", "own").join(F.broadcast(levels), F.col("level") >= F.col("own"))
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - farthest * F.col("radius")) / width), F.floor((F.col(c) + farthest * F.col("radius")) / width)))
@@ -51,6 +53,7 @@ def adjacency(observations: DataFrame, points: DataFrame, images: DataFrame, nea
     far = g.norm([F.col(f"p{c}") - F.col(f"c{c}") for c in "xyz"])
     first = Window.partitionBy("point", "image").orderBy("ordinal")
     o = o.select("point", "image", "ordinal", "x", "y", F.col("radius").cast("double").alias("radius"), far.alias("range"))
+    o = cut(o)  # read several times below
     pairs = cut(adjacency_candidates(o, nearest, farthest))
     o = cut(o.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "ordinal"))
     side = lambda s: o.select(F.col("point").alias(s), "image", *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "radius", "range")])

@@ -30,3 +30,8 @@ def test_the_pairs_of_cells_are_dealt_over_tasks(spark):
 
 def scattered(spark, n=20_000):
     return spark.range(n).select(F.col("id").alias("point"), (F.col("id") % 20).alias("image"), F.col("id").alias("ordinal"), (F.col("id") * 37 % 4001 + 0.25).alias("x"), (F.col("id") * 91 % 3989 + 0.5).alias("y"), F.lit(3.0).alias("radius"))
+
+
+def test_adjacency_asks_few_cells(spark):
+    o = scattered(spark).withColumn("radius", (1 + F.col("point") % 9).cast("double"))
+    assert shuffled(spark, lambda: tracks.adjacency_candidates(o, 1.0, 20.0).count()) < 8 * 20_000
