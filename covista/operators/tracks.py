@@ -79,10 +79,13 @@ def correspondence_by_coordinate(source: DataFrame, target: DataFrame, shared: D
     place), until a point is used. Rounds of pairs that are the first for both their points give the same result.
     """
     finite = "x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('inf') and abs(y) < double('inf')"
-    cell = radius if radius > 0 else 1.0
-    s = source.where(finite).join(shared.withColumnRenamed("source_image", "image"), "image").select("image", "target_image", F.col("ordinal").alias("so"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("point").alias("source"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    for c in ("cx", "cy"):
-        s = s.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    cell = WIDE * radius if radius > 0 else 1.0
+    s = source.where(finite).join(shared.withColumnRenamed("source_image", "image"), "image").select("image", "target_image", F.col("ordinal").alias("so"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("point").alias("source"))
+    # the cells that the radius touches, one or two a side; a hair more, as a sum may be rounded
+    reach = abs(radius) * (1 + 1e-9)
+    low, high = (lambda c, k=k: F.floor((F.col(c) + k * (reach + F.abs(F.col(c)) * 1e-15)) / cell) for k in (-1, 1))
+    for c in "xy":
+        s = s.withColumn(f"c{c}", F.explode(F.sequence(low(f"s{c}"), high(f"s{c}"))))
     t = target.where(finite).select(F.col("image").alias("target_image"), F.col("ordinal").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("point").alias("target"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     d2 = (F.col("sx") - F.col("tx")) * (F.col("sx") - F.col("tx")) + (F.col("sy") - F.col("ty")) * (F.col("sy") - F.col("ty"))
     near = s.join(t, ["target_image", "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
@@ -92,9 +95,11 @@ def correspondence_by_coordinate(source: DataFrame, target: DataFrame, shared: D
     left = cut(pairs.withColumn("turn", F.struct((-F.col("votes")).alias("v"), "first", "source", "target")))
     out = None
     while not left.isEmpty():
-        one, two = left.groupBy("source").agg(F.min("turn").alias("s_turn")), left.groupBy("target").agg(F.min("turn").alias("t_turn"))
-        now = cut(left.join(one, "source").join(two, "target").where("turn = s_turn and turn = t_turn").select("source", "target", "votes"))
+        first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("turn"))
+        ranked = cut(left.withColumns({"s": first("source"), "t": first("target")}))
+        now = ranked.where("s = 1 and t = 1").select("source", "target", "votes")
         out = now if out is None else out.unionByName(now)
+        left = ranked.where("s > 1 or t > 1").drop("s", "t")
         left = cut(left.join(now.select("source"), "source", "left_anti").join(now.select("target"), "target", "left_anti"))
     return out if out is not None else pairs.select("source", "target", "votes")
 

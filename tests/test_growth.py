@@ -35,3 +35,11 @@ def scattered(spark, n=20_000):
 def test_adjacency_asks_few_cells(spark):
     o = scattered(spark).withColumn("radius", (1 + F.col("point") % 9).cast("double"))
     assert shuffled(spark, lambda: tracks.adjacency_candidates(o, 1.0, 20.0).count()) < 8 * 20_000
+
+
+def test_correspondence_asks_few_cells(spark):
+    o = scattered(spark)
+    images = spark.range(20).select(F.col("id").alias("source_image"), F.col("id").alias("target_image"))
+    found = []
+    n = shuffled(spark, lambda: found.append(tracks.correspondence_by_coordinate(o, o.withColumn("x", F.col("x") - 2), images, 2.0, 1).count()))
+    assert n < 9 * 20_000 and found == [20_000]
