@@ -43,3 +43,14 @@ def test_correspondence_asks_few_cells(spark):
     found = []
     n = shuffled(spark, lambda: found.append(tracks.correspondence_by_coordinate(o, o.withColumn("x", F.col("x") - 2), images, 2.0, 1).count()))
     assert n < 9 * 20_000 and found == [20_000]
+
+
+def test_a_settled_pose_takes_no_more_steps(monkeypatch):
+    r, calls = np.random.default_rng(5), []
+    x = np.c_[r.uniform(-4, 4, (600, 2)), r.uniform(10, 17, 600)]
+    one = lambda t: adjustment.View(np.array([7]), np.array([[1.0, 0, 0, 0]]), np.array([t]), np.array([0]), np.array([0]), np.array([[900.0, 900, 480, 320, 0, 0, 0, 0]]))
+    plain = adjustment.reprojected
+    uv = plain(one([0.5, -0.3, 0.1]), np.zeros(600, int), x, np.ones(600), np.zeros((600, 2)), jacobians=False)[0]
+    monkeypatch.setattr(adjustment, "reprojected", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    now, cost = adjustment._fitted_pose(one([0.52, -0.3, 0.08]), x, uv, 4.0, 20)
+    assert np.allclose(now.t, [[0.5, -0.3, 0.1]], atol=1e-6) and len(calls) <= 14
