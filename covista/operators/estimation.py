@@ -51,7 +51,8 @@ def _normalised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _null(a: np.ndarray) -> np.ndarray:
-    return np.linalg.svd(a)[2][-1]
+    # of many rows the left factor would be a square of them
+    return np.linalg.svd(a, full_matrices=len(a) < a.shape[1])[2][-1]
 
 
 def fundamental(x: np.ndarray, y: np.ndarray, most: float, seed: int = 0):

@@ -174,3 +174,15 @@ def test_reports(spark, demo):
     assert t.image_metrics(demo).count() == 6
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "i long, j long")
     assert sorted(tuple(r) for r in t.image_hops(pairs, demo["images"].select("image"), F.col("image") == 0).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, None), (5, None)]
+
+
+def test_a_refit_to_many_rows_takes_memory_in_proportion():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    x = r.uniform(0, 50, (1500, 2))
+    tracemalloc.start()
+    m, ok = e.homography(x, 2 * x + [1, -3], 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ok.all() and np.allclose(m / m[2, 2], [[2, 0, 1], [0, 2, -3], [0, 0, 1]], atol=1e-9) and peak < 10 << 20
