@@ -40,6 +40,7 @@ class Tracks:
         self.d = d[ok] / size[ok][:, None]
         self.views = np.bincount(self.of, minlength=self.total)
         self.anchor = self.sum(self.c) / np.maximum(self.views, 1)[:, None]
+        self.off = self.anchor[self.of] - self.c
 
     def only(self, which: np.ndarray) -> Tracks:
         """The tracks that which (a boolean for each) picks, numbered anew."""
@@ -48,7 +49,7 @@ class Tracks:
         t, kept = object.__new__(Tracks), which[self.of]
         t.total, t.of = int(which.sum()), (np.cumsum(which) - 1)[self.of[kept]]
         t.c, t.s, t.d = self.c[kept], self.s[kept], self.d[kept]
-        t.views, t.anchor = self.views[which], self.anchor[which]
+        t.views, t.anchor, t.off = self.views[which], self.anchor[which], self.off[kept]
         return t
 
     def sum(self, x: np.ndarray) -> np.ndarray:
@@ -71,7 +72,7 @@ class Tracks:
 
     def along(self, u: np.ndarray, rho: np.ndarray) -> np.ndarray:
         """The direction from each ray's centre of the point (u, rho) of its track."""
-        return u[self.of] + rho[self.of, None] * (self.anchor[self.of] - self.c)
+        return u[self.of] + rho[self.of, None] * self.off
 
     def cost(self, u: np.ndarray, rho: np.ndarray, soft: float | None = None) -> np.ndarray:
         r2 = (self.misses(self.along(u, rho)) ** 2).sum(1)
@@ -95,8 +96,10 @@ class Tracks:
         size = np.linalg.norm(v, axis=1)
         with np.errstate(invalid="ignore", divide="ignore"):
             w = v / size[:, None]
-            flat = (np.eye(3) - self.d[:, :, None] * self.d[:, None, :]) @ (np.eye(3) - w[:, :, None] * w[:, None, :]) / (size * self.s)[:, None, None]
-        j = np.nan_to_num(np.concatenate([flat @ t[self.of], flat @ (self.anchor[self.of] - self.c)[:, :, None]], axis=2))
+            x = np.concatenate([t[self.of], self.off[:, :, None]], axis=2)
+            for a in (w, self.d):  # what is along w, then along d, is taken out of the columns
+                x = x - a[:, :, None] * np.einsum("ni,nij->nj", a, x)[:, None, :]
+            j = np.nan_to_num(x / (size * self.s)[:, None, None])
         r = self.misses(v)
         weight = np.ones(len(r)) if soft is None else 1 / np.sqrt(1 + (r * r).sum(1) / (soft * soft))
         return self.sum(weight[:, None] * np.einsum("nij,ni->nj", j, r)), self.sum(weight[:, None, None] * np.einsum("nij,nik->njk", j, j)), t

@@ -54,3 +54,10 @@ def test_a_settled_pose_takes_no_more_steps(monkeypatch):
     monkeypatch.setattr(adjustment, "reprojected", lambda *a, **k: calls.append(1) or plain(*a, **k))
     now, cost = adjustment._fitted_pose(one([0.52, -0.3, 0.08]), x, uv, 4.0, 20)
     assert np.allclose(now.t, [[0.5, -0.3, 0.1]], atol=1e-6) and len(calls) <= 14
+
+
+def test_rays_do_not_pair_partitions(spark):
+    rays = adjustment.observed_rays(adjustment_queries._scene(spark, "/root/testdata/sf0.001"))
+    joined = [x for x in rays._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert "image#" in joined[0]  # the join that has the observations is one by image
+    assert rays.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
