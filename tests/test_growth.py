@@ -1,5 +1,7 @@
 """What a join shuffles, how its tasks are dealt, and how many steps a fit takes, where more would be for nothing."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from covista.plans import adjustment_queries
 
 
 def shuffled(spark, run):
-    """Rows that the stages of run() write for shuffles."""
+    """Rows that the stages of run() write for shuffles, with no join by broadcast."""
     sc = spark.sparkContext
     jvm = sc._gateway.jvm
 
@@ -17,8 +19,14 @@ def shuffled(spark, run):
         found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
         return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
 
-    before = stages()
-    run()
+    before, key = stages(), "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        run()
+    finally:
+        spark.conf.set(key, old)
+    time.sleep(1)  # the store is told of stages a little later
     return sum(n for k, n in stages().items() if k not in before)
 
 
@@ -34,7 +42,8 @@ def scattered(spark, n=20_000):
 
 def test_adjacency_asks_few_cells(spark):
     o = scattered(spark).withColumn("radius", (1 + F.col("point") % 9).cast("double"))
-    assert shuffled(spark, lambda: tracks.adjacency_candidates(o, 1.0, 20.0).count()) < 8 * 20_000
+    n = shuffled(spark, lambda: tracks.adjacency_candidates(o, 1.0, 20.0).count())
+    assert 0 < n < 8 * 20_000, n
 
 
 def test_correspondence_asks_few_cells(spark):
@@ -42,7 +51,7 @@ def test_correspondence_asks_few_cells(spark):
     images = spark.range(20).select(F.col("id").alias("source_image"), F.col("id").alias("target_image"))
     found = []
     n = shuffled(spark, lambda: found.append(tracks.correspondence_by_coordinate(o, o.withColumn("x", F.col("x") - 2), images, 2.0, 1).count()))
-    assert n < 9 * 20_000 and found == [20_000]
+    assert 0 < n < 15 * 20_000 and found == [20_000], n
 
 
 def test_a_settled_pose_takes_no_more_steps(monkeypatch):
