@@ -34,6 +34,7 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.digits_of = {i: str(i) for i in self.bytes_of}
         self.pattern = regex.compile(pattern)
         self.chunk, self.overlap = chunk, overlap
 
@@ -174,9 +175,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             out = {f.name: [] for f in schema}
             for i, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("ids"), strict=True):
-                ids = found.as_py()
+                ids = found.values.to_numpy().tolist()  # as_py() makes an Arrow scalar of each id
                 raw = c.decode(ids)
-                row = i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.as_py().encode()
+                row = i, len(ids), hashlib.sha256(" ".join(map(c.digits_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.as_py().encode()
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
             yield to_batch(out, schema)
