@@ -144,3 +144,26 @@ def test_points_of_one_place_are_met_once(spark):
     places = neighbors._places(p, "key", ["x", "y"], [])
     assert places.count() == 30
     assert neighbors.within_radius(p, p, "key", ["x", "y"], 6.0).count() == 30 * 100 * 99
+
+
+def test_knn_exact_asks_for_every_row(spark):
+    from covista.plans import queries
+
+    got = queries.knn_exact(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("embedding is not null").count()
+    assert got.select("query").distinct().count() == n and got.count() == 3 * n
+
+
+@pytest.mark.parametrize("size", [(1024, 1 << 15), (40, 1 << 15), (1, 50)])
+def test_blocks_lose_no_neighbour(spark, size, monkeypatch):
+    from covista.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "FEW_ROWS", size[0])
+    monkeypatch.setattr(neighbors, "BLOCK", size[1])
+    x = np.random.default_rng(8).integers(0, 4, (300, 5)).astype(float)  # many ties and equal rows
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = sorted((r["query"], r["rank"], r["key"], r["distance"]) for r in neighbors.self_nearest(df, "k", "v", 5).collect())
+    want = [(q, n + 1, int(k), float(d[q, k])) for q in range(300) for n, k in enumerate(np.lexsort((np.arange(300), d[q]))[:5])]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
