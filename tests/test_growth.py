@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from covista.operators import adjustment, joins, tracks
+from covista.operators import adjustment, joins, neighbors, tracks
 from covista.plans import queries  # noqa: F401  (registers)
 from covista.plans import adjustment_queries
 
@@ -70,3 +70,27 @@ def test_rays_do_not_pair_partitions(spark):
     joined = [x for x in rays._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert "image#" in joined[0]  # the join that has the observations is one by image
     assert rays.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+
+
+def pairs_of_copies(df):
+    """Whether a plan rounds what two places have in common before it deals out their rows."""
+    lines = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode(" in x or "round(" in x]
+    return "round(" in lines[-1] and not any("round(" in x for x in lines[:2]) and "explode(" in lines[0] and "explode(" in lines[1]
+
+
+def test_distances_are_told_once_for_two_places(spark):
+    """1,200 points on 600 places of one cell: their queries are dealt over tasks, and distances are rounded before copies are."""
+    p = spark.range(1200).select(F.col("id").alias("key"), (F.col("id") % 600 / 100).alias("x"), F.lit(0.5).alias("y"))
+    near = neighbors.within_radius(p, p, "key", ["x", "y"], 10.0, digits=1)
+    assert pairs_of_copies(near)
+    tasks = near.groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert sum(r["count"] for r in tasks) == 1200 * 1199 and len(tasks) > 1
+    assert near.where("query = 3 and key = 137").first()["distance"] == 1.3
+
+
+def test_reach_deals_copies_out_last(spark):
+    p = spark.range(3000).select(F.col("id").alias("row"), F.lit(1).alias("g"), (F.col("id") % 30 * 1.01).alias("x"), F.lit(0.0).alias("y"), F.lit(1.5).alias("reach"))
+    near = joins.within_reach(p, "row", "g", "x", "y", "reach", digits=1)
+    assert pairs_of_copies(near)
+    assert near.count() == 30 * 100 * 99 + 2 * 29 * 100 * 100
+    assert sorted(r[0] for r in near.select("distance").distinct().collect()) == [0.0, 1.0]
