@@ -110,3 +110,28 @@ def test_frusta_need_no_observations(spark, tmp_path):
     n = 21 * 17 * 5
     small = [i for i in ids if i < n]
     assert all((i, i + n) in rows for i in small) and all(rows[i, j] == rows[i, j + n] == rows[i + n, j + n] == rows[j, i + n] for i, j in rows if j < n)
+
+
+def test_clusters_are_placed_by_columns(monkeypatch):
+    """Points from sums of columns, with no scatter by row; unkept observations and images without a camera take no part."""
+    import pyarrow as pa
+
+    from covista.operators import solves
+
+    r, sizes = np.random.default_rng(9), [5, 2, 6, 4, 3]
+    ids, ends = np.array([3, 5, 8, 9, 12, 20]), np.concatenate([[0], np.cumsum(sizes)])
+    image = np.concatenate([np.sort(r.choice(ids, k, replace=False)) for k in sizes])
+    m, x = r.normal(size=(6, 8)), r.normal(size=(5, 3))
+    of, at = np.repeat(np.arange(5), sizes), np.searchsorted(ids, image)
+    u, v = (m[at, :3] * x[of]).sum(1) + m[at, 3], (m[at, 4:7] * x[of]).sum(1) + m[at, 7]
+    m[0], kept = np.nan, np.ones(len(of), bool)
+    kept[0], u[0], kept[ends[4] :] = False, 1e6, False
+    lists = lambda c: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c))
+    b = pa.RecordBatch.from_arrays([pa.array(range(5)), *(pa.array(x[:, k]) for k in range(3)), lists(image), lists(u), lists(v), lists(kept)], ["cluster", "x0", "x1", "x2", "image", "u", "v", "kept"])
+    monkeypatch.setattr(solves, "_scatter", None)
+    rows = solves._Rows(b, ids)
+    got = rows.placed(m)
+    known = [k for k in range(4) if (kept & (image != 3) & (of == k)).sum() > 1]
+    assert np.allclose(got[known], x[known], atol=1e-6) and np.isnan(got[4]).all() and len(known) >= 3
+    off = rows.off(m, x)
+    assert np.isnan(off[image == 3]).all() and (off[(image != 3) & (np.arange(len(of)) > 0)] < 1e-9).all()
